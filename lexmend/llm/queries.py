@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmend.llm import langid, toxicity
 from lexmend.llm.common import crc_bucket, read
 from lexmend.llm.exact_dedup import exact_groups
 from lexmend.llm.mixing import mix_plan
@@ -19,6 +20,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id")) == 0)
+    model = langid.fit(langid.training_rows(docs, F.col("held_out")))
+    return langid.identify(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents")).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -32,6 +39,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id")) == 0
+    labels = toxicity.training_labels(read(spark, sf_dir, "labels"), held_out)
+    model = toxicity.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels)
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
