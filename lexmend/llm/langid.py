@@ -206,19 +206,28 @@ def fit_texts(texts: list[bytes], langs: list[str]) -> LanguageModel:
     return LanguageModel(families, pairs, np.array(weights), np.array(scales))
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of ``df``: id, lang_pred, score and the columns named in ``keep``. Only the text decides."""
+def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``df``: id, lang_pred, score. Only the text decides."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = model.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=["id", "lang_pred", "score", *[f"k{i}" for i in range(len(keep))]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"id {kinds['id']}, lang_pred string, score double" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep)))
-    out = rows.mapInArrow(each, schema)
-    return out.select(F.col("id").alias(id_col), "lang_pred", "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text has a known language with at least ``least_score``."""
+    at = df.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = model.predict(batch.column(at).cast(pa.string()).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(each, df.schema)
 
 
 def training_rows(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmend.llm import langid, toxicity
+from lexmend.llm import langid, licenses, toxicity
 from lexmend.llm.common import crc_bucket, read
 from lexmend.llm.exact_dedup import exact_groups
+from lexmend.llm.line_dedup import drop_repeated_lines
 from lexmend.llm.mixing import mix_plan
 from lexmend.llm.oracles import ORACLES
+from lexmend.llm.packing import pack
 from lexmend.llm.quality_rules import quality_rules
 from lexmend.llm.simhash import hex_digits, simhash_components
+from lexmend.llm.span_dedup import drop_repeated_spans
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs, licenses.fit(licenses.sample_background(docs)))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(read(spark, sf_dir, "documents"))
+
+
+def op3_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(read(spark, sf_dir, "documents"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +37,9 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id")) == 0)
-    model = langid.fit(langid.training_rows(docs, F.col("held_out")))
-    return langid.identify(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+    docs, held_out = read(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id")) == 0
+    model = langid.fit(langid.training_rows(docs, held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +55,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id")) == 0
