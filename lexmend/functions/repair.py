@@ -18,7 +18,7 @@ from lexmend import chars, kernel, patterns
 from lexmend.config import DEFAULT, TextFixerConfig
 from lexmend.functions import detect, fixers
 from lexmend.functions.fixers import ColumnOrName, col
-from lexmend.functions.segments import before_angle
+from lexmend.functions.pieces import before_angle
 
 EXPLAINED = "struct<text:string,steps:array<struct<transformation:string>>>"
 

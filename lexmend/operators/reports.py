@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmend.functions import detect, segments
+from lexmend.functions import detect, pieces
 
 
 def segment_rows(df: DataFrame, id_col: str, column: str = "text") -> DataFrame:
     """One row for each segment of a text: id, pos, segment."""
-    return df.select(id_col, F.posexplode(segments.segments(column)).alias("pos", "segment"))
+    return df.select(id_col, F.posexplode(pieces.segments(column)).alias("pos", "segment"))
 
 
 def bad_lines(df: DataFrame, id_col: str, column: str = "text") -> DataFrame:
