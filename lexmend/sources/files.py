@@ -16,7 +16,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A row for each text file: path, text."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_table(spark: SparkSession, path: str, column: str, kind: str = "parquet", **options) -> DataFrame:
