@@ -24,8 +24,8 @@ EXPLAINED = "struct<text:string,steps:array<struct<transformation:string>>>"
 
 
 @cache
-def _touching(config: TextFixerConfig) -> str | None:
-    """A pattern of the characters that some fixer changes wherever they stand."""
+def _touching(config: TextFixerConfig) -> tuple[str | None, str | None]:
+    """Patterns of the characters that some fixer changes wherever they stand: those of ASCII, and all others."""
     held: set[int] = set()
     if config.fix_c1_controls:
         held.update(map(ord, chars.C1))
@@ -41,13 +41,12 @@ def _touching(config: TextFixerConfig) -> str | None:
         held.update(x for a, b in chars.CONTROLS for x in range(a, b + 1))
     if config.normalization:
         held |= fixers.unsettled(config.normalization)
-    if not held:
-        return None
-    low = {x for x in held if x < 0x300}
+    plain = {x for x in held if x < 0x80}
+    low = {x for x in held - plain if x < 0x300}
+    # Most characters of Latin text end at the first or the second of these looks.
     parts = [patterns.one_of(low, 64)] if low else []
-    # Most characters of Latin text end here.
-    parts += [f"(?=[^\\x00-\\u02FF]){patterns.one_of(held - low)}"] if held - low else []
-    return "|".join(parts)
+    parts += [f"(?=[^\\x00-\\u02FF]){patterns.one_of(held - plain - low)}"] if held - plain - low else []
+    return patterns.one_of(plain, 64) if plain else None, f"(?=[^\\x00-\\x7F])(?:{'|'.join(parts)})" if parts else None
 
 
 def entity_part(c: ColumnOrName, config: TextFixerConfig, whole: bool) -> Column | None:
@@ -61,9 +60,12 @@ def entity_part(c: ColumnOrName, config: TextFixerConfig, whole: bool) -> Column
 def untouched(c: ColumnOrName, config: TextFixerConfig = DEFAULT, whole: bool = False) -> Column:
     """True only if no fixer changes the text and it records no step."""
     text = col(c)
-    ok = F.lit(True)
-    if (touching := _touching(config)) is not None:
-        ok = ok & ~text.rlike(touching)
+    ok, ascii_only = F.lit(True), detect.is_ascii(text)
+    plain, others = _touching(config)
+    if plain is not None:
+        ok = ok & ~text.rlike(plain)
+    if others is not None:
+        ok = ok & (ascii_only | ~text.rlike(others))
     if config.remove_terminal_escapes and not config.remove_control_chars:
         ok = ok & ~F.contains(text, F.lit("\x1b["))
     if (part := entity_part(text, config, whole)) is not None:
@@ -72,7 +74,7 @@ def untouched(c: ColumnOrName, config: TextFixerConfig = DEFAULT, whole: bool =
         ok = ok & ~detect.may_be_bad(text)
         if not whole:
             # A cut inside a line makes a new start of a segment, where other sequences are bad.
-            ok = ok & ((F.octet_length(text) <= config.max_decode_length) | detect.is_ascii(text))
+            ok = ok & ((F.octet_length(text) <= config.max_decode_length) | ascii_only)
     return ok
 
 

@@ -57,8 +57,7 @@ def bodies() -> dict[str, tuple[str, str]]:
 def _untouched(config: TextFixerConfig) -> str:
     part = "t" if config.unescape_html else "''"
     tests = [f"NOT coalesce({part} RLIKE {quoted(chars.ENTITY)}, false)", f"NOT (t RLIKE {quoted(patterns.NON_ASCII)} AND t RLIKE {quoted(patterns.MAY_BE_BAD)})", f"octet_length(t) <= {config.max_decode_length}"]
-    if (touching := _touching(config)) is not None:
-        tests.append(f"NOT t RLIKE {quoted(touching)}")
+    tests += [f"NOT t RLIKE {quoted(p)}" for p in _touching(config) if p is not None]
     return " AND ".join(tests)
 
 

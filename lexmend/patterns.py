@@ -47,7 +47,8 @@ def one_of(codes, width: int = 8) -> str:
     comes before the group, so a character that isn't meant costs few tests.
     """
     ranges = codes if isinstance(codes, list) else code_ranges(codes)
-    group = lambda a, b: f"[\\x{{{a:X}}}-\\x{{{b:X}}}]"
+    point = lambda c: f"\\u{c:04X}" if c < 0x10000 else f"\\x{{{c:X}}}"
+    group = lambda a, b: f"[{point(a)}-{point(b)}]"
     if len(ranges) <= width:
         return "[" + "".join(group(a, b)[1:-1] for a, b in ranges) + "]"
     step = -(-len(ranges) // width)
@@ -133,13 +134,49 @@ def _pinned(rule: tuple[str, ...], start: str) -> str:
     return _plain(rule)
 
 
+def _rest(rule: tuple[str, ...]) -> tuple[str, ...]:
+    """The sets of a rule from the character at which it is pinned."""
+    if rule[0] == "start" or rule[0].split(" ")[0] in SPECIAL:
+        return rule[2:] if rule[1].endswith("?") else rule[1:]
+    return rule
+
+
+def _codes(spec: str) -> set[int] | None:
+    """The characters of a set, or None if it holds ASCII."""
+    out: set[int] = set()
+    for word in spec.split(" "):
+        if word.startswith("="):
+            out.update(map(ord, word[1:]))
+        elif word in CATEGORIES:
+            out.update(map(ord, CATEGORIES[word]))
+        else:
+            return None
+    return out
+
+
+def _ahead() -> str:
+    """What every match begins with: a character that is enough, or one that begins some rule before one that may follow there.
+
+    Letters of intact text seldom stand so, and are passed over after a look or two.
+    """
+    alone, first, second = set(), set(), set()
+    for rule in map(_rest, SEQUENCES):
+        follows = _codes(rule[1]) if len(rule) > 1 else None
+        if follows is None:
+            alone |= _codes(rule[0])
+        else:
+            first |= _codes(rule[0])
+            second |= follows
+    return f"(?={one_of(alone, 64)}|{one_of(first)}{one_of(second)})"
+
+
 NON_ASCII = r"[^\x00-\x7F]"
 #: Counts: matches from left to right that don't overlap.
 BADNESS = "|".join(_plain(r) for r in SEQUENCES)
-#: Whether there is any, found faster: nothing is tried at ASCII characters.
-IS_BAD = f"(?=[\\u0080-\\uFFFF])(?:{'|'.join(_pinned(r, r'(?<![\s\S])') for r in SEQUENCES)})"
+#: Whether there is any, found faster: ASCII characters, and most others, are passed over.
+IS_BAD = f"(?=[^\\x00-\\x7F]){_ahead()}(?:{'|'.join(_pinned(r, r'(?<![\s\S])') for r in SEQUENCES)})"
 #: True of a text if any of its lines is bad on its own; sometimes of others.
-MAY_BE_BAD = f"(?=[\\u0080-\\uFFFF])(?:{'|'.join(_pinned(r, r'(?<![^\n])') for r in SEQUENCES)})"
+MAY_BE_BAD = f"(?=[^\\x00-\\x7F]){_ahead()}(?:{'|'.join(_pinned(r, r'(?<![^\n])') for r in SEQUENCES)})"
 
 CONTINUATION = char_class(chars.CONTINUATION)
 #: Runs of characters that look like UTF-8 read with a single-byte codec.
