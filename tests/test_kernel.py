@@ -145,3 +145,12 @@ def test_golden_cases():
                 assert kernel.fix_text(through(text, "latin-1")) == fixed, case["label"]
             else:
                 assert kernel.fix_text(text, ENCODING_ONLY) != only, case["label"]
+
+
+def test_strings():
+    import lexmend
+
+    assert lexmend.fix_text("l’Ã©tÃ©") == "l'été" and lexmend.fix_text("“x”", lexmend.TextFixerConfig(uncurl_quotes=False)) == "“x”"
+    done = lexmend.fix_and_explain("“x”\r")
+    assert done.text == '"x"\n' and [s.transformation for s in done.steps] == ["uncurl_quotes", "fix_line_breaks"]
+    assert lexmend.fix_and_explain("x", lexmend.TextFixerConfig(explain=False)).steps is None
