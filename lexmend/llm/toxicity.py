@@ -151,10 +151,11 @@ def optimise(size: int, rows: list[list[int]], y: np.ndarray, pairs: list[tuple[
     at, what = flat(rows)
     one, two = flat([a for a, _ in pairs]), flat([b for _, b in pairs])
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    w[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    # Both classes weigh the same, so that one telling word can outweigh the bias.
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for t in range(1, steps + 1):
         z = np.bincount(at, w[what], len(rows)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / len(rows)
         g = np.append(np.bincount(what, error[at], size), error.sum())
         g[:-1] += ridge * w[:-1]
         if pairs:
@@ -165,7 +166,7 @@ def optimise(size: int, rows: list[list[int]], y: np.ndarray, pairs: list[tuple[
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 8000, penalty: float = 1.0, ridge: float = 2e-5, least_z: float = 5.0, most_features: int = 4000, steps: int = 300) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 8000, penalty: float = 1.0, ridge: float = 2e-4, least_z: float = 4.5, most_features: int = 4000, steps: int = 600) -> ToxicityModel:
     """Train on ``docs`` (id, text) and ``labels`` (id, toxic)."""
     picked = F.broadcast(sample_labels(labels, rows_per_class))  # bounded by 2 * rows_per_class
     rows = staged(docs.join(picked, "id").select("toxic", "text"), "toxicity")
