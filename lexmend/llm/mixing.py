@@ -11,9 +11,10 @@ best ranks until the words that are left to take are met, stopping on the nearer
 sample has a fixed size in words, with unequal probabilities between sources (and inside one,
 where ``weight_col`` is given).
 
-The cut of a source is found without sorting it: words are summed over 65,536 ranges of the rank,
-and only the one range that holds the cut is ordered. A source with a third of all rows thus
-never meets in one task.
+The cut of a source is found without sorting it: words are summed over 1,024 ranges of the rank,
+then over 1,024 parts of the range that holds the cut, and only the part that holds it is ordered.
+A source with a third of all rows thus never meets in one task. What is joined to the documents is
+a table with one row for each source, so no text is shuffled.
 
 Defined cases: a null text has no words. A null source is one source, the last. Rows with the
 same id (null too) rank alike and are taken together. A document without words is taken whole
@@ -25,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import as_text, n_words, staged
+from lexmend.llm.common import WORD, as_text, n_words, staged
 
-RANGES = 65_536
+STEP = 1024
 DIGITS = 13  # hexadecimal digits of the hash that make up u: 52 bits, exact in a double
 
 
@@ -56,83 +57,105 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> Dat
     return filled.select("source", "source_size", F.least(F.col("cap"), water * F.col("weight")).alias("target"))
 
 
-def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
-    """One row for each row of ``df``: id, source, size, source_size, target, copies, taken."""
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    base = staged(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            uniform(F.col(id_col), seed).alias("u"),
-            F.greatest(weight, F.lit(0.0)).alias("w"),
-        ),
-        "mix-base",
+def _found(words: DataFrame, left: DataFrame, range_col: str) -> DataFrame:
+    """The range of each source in which its running sum of words reaches what is left to take: source, range, left, before."""
+    run = Window.partitionBy("source").orderBy(range_col)
+    return (
+        words.withColumn("upto", F.sum("words").over(run))
+        .join(left, F.col("source").eqNullSafe(F.col("l_source")))
+        .filter((F.col("upto") + F.col("ahead") >= F.col("left")) & (F.col("upto") + F.col("ahead") - F.col("words") < F.col("left")))
+        .select("source", range_col, "left", (F.col("upto") + F.col("ahead") - F.col("words")).alias("before"))
     )
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("mass"))
-    sizes = staged(sizes, "mix-sources")
-    targets = staged(source_targets(sizes.select("source", "source_size"), max_repeat, cycle).join(sizes.select(F.col("source").alias("_s"), "mass"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
 
+
+def _scored(rows: DataFrame, targets: DataFrame, max_repeat: int) -> DataFrame:
+    """``rows`` (id, source, u, w, some) with their source's row of ``targets``, certain copies and rank."""
     expected = F.least(F.col("target") * F.col("w") / F.col("mass"), F.lit(float(max_repeat)))
-    scored = (
-        base.alias("b")
-        .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select("id", "b.source", "size", "source_size", "target", "u", F.when(F.col("mass") > 0, expected).otherwise(F.lit(0.0)).alias("e"))
+    return (
+        rows.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
+        .withColumn("e", F.when(F.col("mass") > 0, expected).otherwise(F.lit(0.0)))
         .withColumn("whole", F.floor("e"))
         .withColumn("p", F.col("e") - F.col("whole"))
-        .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        .withColumn("range", F.floor(F.col("q") / (1 + F.col("q")) * RANGES))
-    )
-    totals = scored.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    ranges = scored.filter("q is not null").groupBy("source", "range").agg(F.sum("size").alias("words"))
-    named = lambda d, x: [d[c].alias(f"{x}_{c}") for c in d.columns]
-    left = totals.select(F.col("source").alias("l_source"), (F.col("target") - F.col("sure")).alias("left"))
-    run = Window.partitionBy("source").orderBy("range")
-    at_cut = (
-        ranges.withColumn("upto", F.sum("words").over(run))
-        .join(left, F.col("source").eqNullSafe(F.col("l_source")))
-        .filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("words") < F.col("left")))
-        .select("source", "range", "left", (F.col("upto") - F.col("words")).alias("before"))
+        .withColumn("q", F.when((F.col("p") > 0) & F.col("some"), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+        .withColumn("fine", F.floor(F.col("q") / (1 + F.col("q")) * (STEP * STEP)))
     )
-    at_cut = staged(at_cut, "mix-ranges")
-    # Inside the range that holds the cut: ids that rank alike count as one.
-    inside = (
-        scored.filter("q is not null")
-        .alias("s")
-        .join(at_cut.select(*named(at_cut, "c")), F.col("s.source").eqNullSafe(F.col("c_source")) & (F.col("s.range") == F.col("c_range")))
-        .groupBy("source", "q", F.col("id"))
-        .agg(F.sum("size").alias("size"), F.first("c_left").alias("left"), F.first("c_before").alias("before"))
+
+
+def _rank() -> Column:
+    return F.struct("q", F.col("id").isNotNull().alias("known"), "id")
+
+
+def _copies() -> Column:
+    """Copies of a scored row that is joined to its source's cut."""
+    at_cut = F.coalesce(_rank() <= F.col("cut"), F.lit(False))
+    drawn = (
+        F.when(F.col("q").isNull() | (F.col("left") <= 0), F.lit(False))
+        # A source without a cut has less than what is left in all of its rows.
+        .when(F.col("cut_range").isNull(), F.lit(True))
+        .otherwise((F.col("fine") < F.col("cut_range")) | ((F.col("fine") == F.col("cut_range")) & at_cut))
     )
+    return F.col("whole") + drawn.cast("long")
+
+
+def _rows(df: DataFrame, id_col: str, source_col: str, weight_col: str | None, seed: int, *more: Column) -> DataFrame:
+    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), uniform(F.col(id_col), seed).alias("u"), F.greatest(weight, F.lit(0.0)).alias("w"), *more)
+
+
+def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, max_repeat: int, cycle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The scored rows without texts, and a row for each source with its target and cut."""
+    size = n_words(F.col(text_col))
+    base = staged(_rows(df, id_col, source_col, weight_col, seed, size.alias("size")).withColumn("some", F.col("size") > 0), "mix-base")
+    sizes = staged(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("mass")), "mix-sources")
+    targets = source_targets(sizes.select("source", "source_size"), max_repeat, cycle).withColumnRenamed("source", "t_source")
+    targets = staged(targets.join(sizes.select(F.col("source").alias("s_source"), "mass"), F.col("t_source").eqNullSafe(F.col("s_source"))).drop("s_source"), "mix-targets")
+    scored = _scored(base, targets, max_repeat)
+    left = scored.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("sure")).select(F.col("source").alias("l_source"), (F.col("target") - F.col("sure")).alias("left"), F.lit(0).cast("long").alias("ahead"))
+    left = staged(left, "mix-left")
+
+    drawn = scored.filter("q is not null").withColumn("coarse", F.floor(F.col("fine") / STEP))
+    coarse = staged(_found(drawn.groupBy("source", "coarse").agg(F.sum("size").alias("words")), left, "coarse"), "mix-coarse")
+    inside = drawn.join(coarse.select(F.col("source").alias("c_source"), F.col("coarse").alias("c_coarse")), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("coarse") == F.col("c_coarse")))
+    ahead = coarse.select(F.col("source").alias("l_source"), "left", F.col("before").alias("ahead"))
+    fine = staged(_found(inside.groupBy("source", "fine").agg(F.sum("size").alias("words")), ahead, "fine"), "mix-fine")
+    fine = fine.select(F.col("source").alias("k_source"), F.col("fine").alias("cut_range"), F.col("left").alias("k_left"), "before")
+
+    # Inside the part that holds the cut, ids that rank alike count as one.
+    part = drawn.join(fine, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("fine") == F.col("cut_range"))).groupBy("source", "q", "id").agg(F.sum("size").alias("size"), F.first("k_left").alias("left"), F.first("before").alias("before"))
     order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())
+    # A row is in when most of it fits what is left. Where not even the first one is, there is no cut in the part.
     cuts = (
-        inside.withColumn("upto", F.col("before") + F.sum("size").over(order))
+        part.withColumn("upto", F.col("before") + F.sum("size").over(order))
         .withColumn("below", F.col("upto") - F.col("size"))
-        # A row is in when most of it fits what is left.
         .filter((F.col("upto") - F.col("left") <= F.col("left") - F.col("below")) & (F.col("below") < F.col("left")))
-        .groupBy("source", "left")
-        .agg(F.max(F.struct("q", F.col("id").isNotNull().alias("known"), "id")).alias("cut"))
+        .groupBy("source")
+        .agg(F.max(_rank()).alias("cut"))
+        .withColumnRenamed("source", "x_source")
     )
-    # Where not even the first row of that range is in, the cut lies at the start of the range.
-    cuts = at_cut.select(*named(at_cut, "c")).join(cuts, F.col("c_source").eqNullSafe(F.col("source")), "left").select(F.col("c_source").alias("k_source"), F.col("c_range").alias("k_range"), "cut")
-    cuts = staged(cuts, "mix-cuts")
-    totals = staged(left, "mix-left")
-    rank = F.struct("q", F.col("id").isNotNull().alias("known"), "id")
-    # A source without a cut has either nothing left to take, or less than that in all ranges.
-    drawn = F.when(F.col("q").isNull() | (F.col("left") <= 0), F.lit(False)).when(F.col("k_range").isNull(), F.lit(True)).otherwise((F.col("range") < F.col("k_range")) | ((F.col("range") == F.col("k_range")) & F.coalesce(rank <= F.col("cut"), F.lit(False))))
-    return (
-        scored.join(totals, F.col("source").eqNullSafe(F.col("l_source")))
-        .join(cuts, F.col("source").eqNullSafe(F.col("k_source")), "left")
-        .withColumn("copies", (F.col("whole") + drawn.cast("long")).cast("long"))
-        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    by_source = (
+        targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source")))
+        .join(fine.select("k_source", "cut_range"), F.col("t_source").eqNullSafe(F.col("k_source")), "left")
+        .join(cuts, F.col("t_source").eqNullSafe(F.col("x_source")), "left")
+        .select("t_source", "source_size", "target", "mass", "left", "cut_range", "cut")
     )
+    return base, staged(by_source, "mix-cuts")
+
+
+def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
+    """One row for each row of ``df``: id, source, size, source_size, target, copies, taken."""
+    base, cuts = _plan(df, id_col, text_col, source_col, weight_col, max_repeat, cycle, seed)
+    made = _scored(base, cuts, max_repeat).withColumn("copies", _copies().cast("long"))
+    return made.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
     """The documents of the mix with all their columns, each as often as the plan says."""
-    counts = mix_plan(df, id_col, text_col, source_col, **plan).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    # Rows that share id, source and size have the same number of copies: that depends on nothing else.
-    counts = staged(counts.filter("_copies > 0").dropDuplicates(["_id", "_source", "_size"]), "mix-copies")
     names = [f"_c{i}" for i in range(len(df.columns))]
     at = dict(zip(df.columns, names, strict=True))
-    on = F.col(at[id_col]).eqNullSafe(F.col("_id")) & F.col(at[source_col]).cast("string").eqNullSafe(F.col("_source")) & (n_words(F.col(at[text_col])) == F.col("_size"))
-    return df.toDF(*names).join(counts, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(n).alias(c) for c, n in at.items()])
+    flat = df.toDF(*names)
+    own = (at[id_col], at[text_col], at[source_col], at.get(weight_col))
+    _, cuts = _plan(flat, *own, max_repeat, cycle, seed)
+    some = as_text(F.col(at[text_col])).rlike(WORD).alias("some")
+    rows = _rows(flat, at[id_col], at[source_col], at.get(weight_col), seed, some, *[F.col(n) for n in names])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return _scored(rows, cuts, max_repeat).withColumn("n", _copies()).filter("n > 0").withColumn("copy", copies).select(*[F.col(n).alias(c) for c, n in at.items()])
