@@ -41,7 +41,7 @@ FAMILIES = {
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
 SIZES = (1, 2, 3, 4)
-BINS = 1 << 14
+BINS = 1 << 13
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 

@@ -14,7 +14,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def groups(texts: list[bytes], most: int = 1 << 20):
+def groups(texts: list[bytes], most: int = 1 << 18):
     """Runs of texts (start, stop) of about ``most`` bytes, at least one text each."""
     start, held = 0, 0
     for i, t in enumerate(texts):
