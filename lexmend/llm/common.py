@@ -73,3 +73,13 @@ def crc_bucket(id_col: Column, n: int = 5) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def row_mark() -> Column:
+    """Tells rows of one id apart, by their texts: 32 bits do for a shared id, 64 for the rows without one. Columns id and text."""
+    return F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.hash("text").cast("long"))
+
+
+def place(*more: str) -> Column:
+    """Order of the corpus: by id, null last."""
+    return F.struct(F.col("id").isNull().alias("last"), "id", *more)

@@ -19,10 +19,10 @@ from hashlib import blake2b
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import staged
+from lexmend.llm.common import place, row_mark, staged
 
 #: Lines that decide whether a boundary follows, the average distance of boundaries, and the most lines of a chunk.
 WINDOW, AVERAGE, MOST = 2, 3, 64
@@ -63,7 +63,7 @@ def chunks(text: str | None) -> list[tuple[int, int, str]]:
 
 def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each chunk: id, row, start, stop, hash, body."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row"), "text")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", row_mark().alias("row"), "text")
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +85,6 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(each, f"id {kind}, row long, start int, stop int, hash binary, body string")
 
 
-def place(*more: str) -> Column:
-    """Order of the corpus: by id, null last."""
-    return F.struct(F.col("id").isNull().alias("last"), "id", *more)
-
-
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row and ``cut``, the sorted line ranges (start, stop) to remove, for rows with any."""
     found = chunk_rows(df, id_col, text_col)
@@ -111,8 +106,9 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, text without its repeated chunks, n_lines, removed_lines, removed."""
     cut = staged(removed_lines(df, id_col, text_col), "line-cuts").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "cut")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    joined = rows.join(cut, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "text", "cut")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", row_mark())
+    # Merged at every size: a broadcast of the cuts would hold for small corpora only, and then turn into a shuffle of the texts.
+    joined = rows.join(cut.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "text", "cut")
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
