@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import staged
-from lexmend.llm.line_dedup import place
+from lexmend.llm.common import drop_staged, place, row_mark, staged
 
-LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 20, 30
+LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 16, 25
 #: A sentence with the white space behind it: up to an end mark before white space, or a line end.
 SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+[\"')\]]*(?=\s|$)|(?=\n)|$)\s*", re.MULTILINE)
 
@@ -76,8 +75,8 @@ def _full(n: int, words: int) -> bool:
 
 
 def run_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each run: id, row (hash of the text), start, stop, hash."""
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    """One row for each run: id, row (tells rows of one id apart), start, stop, hash."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", row_mark().alias("row"), "text")
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +99,13 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, row and ``cut``, the sentence ranges (start, stop) of non-first runs, for rows with any."""
     found = staged(run_rows(df, id_col, text_col), "runs")
     firsts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place("row", "start")).alias("first")).filter("n > 1").select(F.col("hash").alias("g"), "first")
+    # As a table of its own, it leaves the join free to split a hash with very many runs over tasks.
+    firsts = staged(firsts, "run-firsts")
     again = found.join(firsts, F.col("hash") == F.col("g")).filter(~place("row", "start").eqNullSafe(F.col("first")))
-    return again.groupBy("id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
+    cut = staged(again.groupBy("id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("cut")), "run-cuts")
+    drop_staged(found)
+    drop_staged(firsts)
+    return cut
 
 
 def without(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -127,9 +131,10 @@ def without(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, list[tuple
 
 def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, text without repeated passages, n_sentences, removed_sentences, removed (character ranges)."""
-    cut = staged(repeated_runs(df, id_col, text_col), "run-cuts").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "cut")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    joined = rows.join(cut, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "text", "cut")
+    cut = repeated_runs(df, id_col, text_col).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "cut")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", row_mark())
+    # Merged at every size: a broadcast of the cuts would hold for small corpora only, and then turn into a shuffle of the texts.
+    joined = rows.join(cut.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "text", "cut")
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
