@@ -96,11 +96,14 @@ class LanguageModel:
             lengths = np.array([len(t) for t in texts[a:b]])
             ends = np.cumsum(lengths)
             for grams, n in zip(byte_grams(data, SIZES, BINS), SIZES, strict=True):
-                sums = np.zeros((len(grams) + 1, table.shape[1]))
-                np.cumsum(table[grams], axis=0, out=sums[1:], dtype=np.float64)
-                start, stop = np.minimum(ends - lengths, len(grams)), np.maximum(np.minimum(ends - n + 1, len(grams)), 0)
-                stop = np.maximum(start, stop)
-                out[a:b] += (sums[stop] - sums[start]) / np.maximum(stop - start, 1)[:, None]
+                start = np.minimum(ends - lengths, len(grams))
+                stop = np.maximum(start, np.minimum(ends - n + 1, len(grams)))
+                # Sums over [start, stop) of every text; what lies between is n-grams across two texts.
+                held = np.zeros((len(grams) + 1, table.shape[1]), np.float32)
+                table.take(grams, axis=0, out=held[:-1], mode="clip")
+                sums = np.add.reduceat(held, np.column_stack((start, stop)).ravel(), axis=0, dtype=np.float64)[::2]
+                some = stop > start
+                out[a:b][some] += sums[some] / (stop - start)[some, None]
         return out * SCALE + self.weights[:, -1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -4,14 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit multiplicative hash, on unsigned numbers."""
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def groups(texts: list[bytes], most: int = 1 << 18):
@@ -27,10 +20,13 @@ def groups(texts: list[bytes], most: int = 1 << 18):
 
 
 def byte_grams(data: np.ndarray, sizes: tuple[int, ...], bins: int) -> list[np.ndarray]:
-    """For each size n, the bin of the n bytes that start at each place of ``data`` (fewer at its end)."""
-    out, code = [], np.zeros(len(data), np.uint64)
+    """For each size n, the bin of the n bytes that start at each place of ``data`` (fewer at its end).
+
+    Multiplicative hashing: the top bits of the product pick the bin. ``bins`` is a power of two.
+    """
+    out, code, shift = [], np.zeros(len(data), np.uint64), np.uint64(64 - bins.bit_length() + 1)
     for n in range(1, max(sizes) + 1):
         code = code[: len(data) - n + 1] * np.uint64(257) + data[n - 1 :] + np.uint64(1)
         if n in sizes:
-            out.append((mix(code + np.uint64(n << 56)) >> np.uint64(20)).astype(np.int64) & (bins - 1))
+            out.append(((code + np.uint64(n << 56)) * FACTOR >> shift).astype(np.int64))
     return out
