@@ -7,9 +7,10 @@ below its cap gets the same number of words for each unit of weight.
 A document's expected number of copies is its source's target over its source's size. The whole
 part is certain. The rest is its inclusion probability p, and documents are ranked by the random
 odds u/(1-u) over the inclusion odds p/(1-p), with u from a hash of the id; the sample takes the
-best ranks until the words that are left to take are met, stopping on the nearer side. So the
-sample has a fixed size in words, with unequal probabilities between sources (and inside one,
-where ``weight_col`` is given).
+best ranks while they fit the words that are left to take. So the sample has a fixed size in words,
+with unequal probabilities between sources (and inside one, where ``weight_col`` is given). What
+then is missing of a source's words, less than the next document has, is closed by one more
+document, the one whose size is nearest to the gap, if it makes the gap smaller.
 
 The cut of a source is found without sorting it: words are summed over 1,024 ranges of the rank,
 then over 1,024 parts of the range that holds the cut, and only the part that holds it is ordered.
@@ -85,16 +86,21 @@ def _rank() -> Column:
     return F.struct("q", F.col("id").isNotNull().alias("known"), "id")
 
 
-def _copies() -> Column:
-    """Copies of a scored row that is joined to its source's cut."""
+def _drawn() -> Column:
+    """Whether a scored row that is joined to its source's cut ranks up to it."""
     at_cut = F.coalesce(_rank() <= F.col("cut"), F.lit(False))
-    drawn = (
+    return (
         F.when(F.col("q").isNull() | (F.col("left") <= 0), F.lit(False))
         # A source without a cut has less than what is left in all of its rows.
         .when(F.col("cut_range").isNull(), F.lit(True))
         .otherwise((F.col("fine") < F.col("cut_range")) | ((F.col("fine") == F.col("cut_range")) & at_cut))
     )
-    return F.col("whole") + drawn.cast("long")
+
+
+def _copies() -> Column:
+    """Copies of a scored row that is joined to its source's cut and closing document."""
+    closing = F.coalesce(_rank() == F.col("closing"), F.lit(False))
+    return F.col("whole") + (_drawn() | closing).cast("long")
 
 
 def _rows(df: DataFrame, id_col: str, source_col: str, weight_col: str | None, seed: int, *more: Column) -> DataFrame:
@@ -123,22 +129,24 @@ def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, weight_col
     # Inside the part that holds the cut, ids that rank alike count as one.
     part = drawn.join(fine, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("fine") == F.col("cut_range"))).groupBy("source", "q", "id").agg(F.sum("size").alias("size"), F.first("k_left").alias("left"), F.first("before").alias("before"))
     order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())
-    # A row is in when most of it fits what is left. Where not even the first one is, there is no cut in the part.
+    # A row is in if it fits. Where not even the first one does, there is no cut in the part.
     cuts = (
         part.withColumn("upto", F.col("before") + F.sum("size").over(order))
-        .withColumn("below", F.col("upto") - F.col("size"))
-        .filter((F.col("upto") - F.col("left") <= F.col("left") - F.col("below")) & (F.col("below") < F.col("left")))
+        .filter(F.col("upto") <= F.col("left"))
         .groupBy("source")
-        .agg(F.max(_rank()).alias("cut"))
+        .agg(F.max(_rank()).alias("cut"), F.max("upto").alias("reached"))
         .withColumnRenamed("source", "x_source")
     )
     by_source = (
         targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source")))
-        .join(fine.select("k_source", "cut_range"), F.col("t_source").eqNullSafe(F.col("k_source")), "left")
+        .join(fine.drop("k_left"), F.col("t_source").eqNullSafe(F.col("k_source")), "left")
         .join(cuts, F.col("t_source").eqNullSafe(F.col("x_source")), "left")
-        .select("t_source", "source_size", "target", "mass", "left", "cut_range", "cut")
+        .select("t_source", "source_size", "target", "mass", "left", "cut_range", "cut", (F.col("left") - F.coalesce("reached", "before")).alias("gap"))
     )
-    return base, staged(by_source, "mix-cuts")
+    by_source = staged(by_source, "mix-cuts")
+    nearest = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), _rank().alias("rank")))["rank"]
+    closing = _scored(base, by_source, max_repeat).filter(~_drawn() & F.col("q").isNotNull() & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))).groupBy("source").agg(nearest.alias("closing")).withColumnRenamed("source", "y_source")
+    return base, staged(by_source.join(closing, F.col("t_source").eqNullSafe(F.col("y_source")), "left").drop("y_source"), "mix-closed")
 
 
 def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:

@@ -51,9 +51,15 @@ p AS (SELECT *, floor(e) AS whole, e - floor(e) AS p FROM e),
 q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(floor(e) * size) OVER (PARTITION BY source) AS left_over FROM p),
 g AS (SELECT source, q, doc_id, sum(size) AS size, any_value(left_over) AS left_over FROM q WHERE q IS NOT NULL GROUP BY source, q, doc_id),
 r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM g),
-k AS (SELECT source, q, doc_id FROM r WHERE upto - left_over <= left_over - (upto - size) AND upto - size < left_over)
-SELECT q.doc_id, size, source_size, target, CAST((whole + CASE WHEN k.source IS NULL AND k.q IS NULL THEN 0 ELSE 1 END) * size AS BIGINT) AS taken
-FROM q LEFT JOIN k ON q.source IS NOT DISTINCT FROM k.source AND q.q = k.q AND q.doc_id IS NOT DISTINCT FROM k.doc_id
+k AS (SELECT source, q, doc_id FROM r WHERE upto <= left_over),
+gap AS (SELECT source, any_value(left_over) - coalesce(max(upto) FILTER (upto <= left_over), 0) AS gap FROM r GROUP BY source),
+o AS (SELECT q.source, q.q, q.doc_id, row_number() OVER (PARTITION BY q.source ORDER BY abs(size - gap), q.q, q.doc_id NULLS FIRST) AS n
+      FROM q JOIN gap ON q.source IS NOT DISTINCT FROM gap.source
+      LEFT JOIN k ON q.source IS NOT DISTINCT FROM k.source AND q.q = k.q AND q.doc_id IS NOT DISTINCT FROM k.doc_id
+      WHERE q.q IS NOT NULL AND k.q IS NULL AND abs(size - gap) < gap),
+x AS (SELECT source, q, doc_id FROM k UNION SELECT source, q, doc_id FROM o WHERE n = 1)
+SELECT q.doc_id, size, source_size, target, CAST((whole + CASE WHEN x.q IS NULL THEN 0 ELSE 1 END) * size AS BIGINT) AS taken
+FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source AND q.q = x.q AND q.doc_id IS NOT DISTINCT FROM x.doc_id
 """
 
 ORACLES = {
