@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmend.llm import langid
-from lexmend.llm.common import crc_bucket, shared_dir
+from lexmend.llm.common import crc_bucket
 from lexmend.llm.exact_dedup import drop_exact_copies
 from lexmend.llm.mixing import mix
 from lexmend.llm.packing import pack
 from lexmend.llm.simhash import drop_near_copies
+from lexmend.plans.home import shared_dir
 
 #: Below this score a text's language is taken to be unknown.
 LEAST_SCORE = 0.05
