@@ -37,8 +37,10 @@ def possible_encoding(c: ColumnOrName, codec: str) -> Column:
     """Whether the text can have been decoded with the single-byte codec."""
     if codec == "ascii":
         return is_ascii(c)
-    inside = patterns.char_class("".join(chars.repertoire(codec)))
-    return ~col(c).rlike("[^" + inside[1:])
+    text = col(c)
+    held = chars.repertoire(codec)
+    fits = is_ascii(text) | ~text.rlike(patterns.outside(held))
+    return fits if "\x1a" in held else fits & ~F.contains(text, F.lit("\x1a"))
 
 
 def possible_encodings(c: ColumnOrName) -> Column:

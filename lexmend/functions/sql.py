@@ -36,7 +36,6 @@ def _nested(table: dict[str, str]) -> str:
 def bodies() -> dict[str, tuple[str, str]]:
     """Name to (return type, body in t)."""
     found = quoted(patterns.NON_ASCII)
-    outside = lambda codec: quoted("[^" + patterns.char_class("".join(chars.repertoire(codec)))[1:])
     out = {
         "fix_c1_controls": ("STRING", _translate(chars.C1)),
         "fix_character_width": ("STRING", _translate(chars.WIDTHS)),
@@ -50,7 +49,9 @@ def bodies() -> dict[str, tuple[str, str]]:
         "text_lines": ("ARRAY<STRING>", f"array_remove(split(t, {quoted('(?<=' + chr(92) + 'n)')}), '')"),
     }
     for codec in chars.CANDIDATES:
-        out["possible_" + codec.removeprefix("sloppy-").replace("-", "_")] = ("BOOLEAN", f"NOT t RLIKE {outside(codec)}")
+        held = chars.repertoire(codec)
+        also = "" if "\x1a" in held else f" AND NOT contains(t, {quoted(chr(0x1A))})"
+        out["possible_" + codec.removeprefix("sloppy-").replace("-", "_")] = ("BOOLEAN", f"NOT t RLIKE {quoted(patterns.outside(held))}{also}")
     return out
 
 

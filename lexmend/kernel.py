@@ -23,8 +23,8 @@ def _on_bytes(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(r"\z", r"\Z").encode("ascii"))
 
 
-_IS_BAD = _compiled(patterns.IS_BAD)
-_BADNESS = _compiled(patterns.BADNESS)
+_IS_BAD = _compiled(patterns.IS_BAD_OF_CLASSES)
+_BADNESS = _compiled(patterns.BADNESS_OF_CLASSES)
 _RUN = re.compile(patterns.UTF8_RUN)
 _ALTERED = _on_bytes(patterns.ALTERED_UTF8)
 _A_GRAVE = _on_bytes(patterns.A_GRAVE)

@@ -103,11 +103,13 @@ SEQUENCES = (
 )
 
 
-def _set(spec: str) -> str:
+def _set(spec: str, many) -> str:
     if spec == "any":
         return r"[^\n]"
     if spec == "not latin":
         return "[^A-Za-z]"
+    if (codes := _codes(spec)) is not None:
+        return many(codes)
     out = ""
     for word in spec.split(" "):
         if word.startswith("="):
@@ -119,19 +121,19 @@ def _set(spec: str) -> str:
     return f"[{out}]"
 
 
-def _plain(rule: tuple[str, ...]) -> str:
-    return "".join("^" if x == "start" else _set(x[:-1]) + "?" if x.endswith("?") else _set(x) for x in rule)
+def _plain(rule: tuple[str, ...], many) -> str:
+    return "".join("^" if x == "start" else _set(x[:-1], many) + "?" if x.endswith("?") else _set(x, many) for x in rule)
 
 
-def _pinned(rule: tuple[str, ...], start: str) -> str:
+def _pinned(rule: tuple[str, ...], start: str, many) -> str:
     """The rule with what may be ASCII before its first other character moved into a lookbehind: it matches at that character."""
     if rule[0] == "start":
-        return start + _plain(rule[1:])
+        return start + _plain(rule[1:], many)
     if rule[:2] == ("lower", "space?"):
-        return f"(?<=[a-z]|[a-z]{_set('space')})" + _plain(rule[2:])
+        return f"(?<=[a-z]|[a-z]{_set('space', many)})" + _plain(rule[2:], many)
     if rule[0].split(" ")[0] in SPECIAL:
-        return f"(?<={_set(rule[0])})" + _plain(rule[1:])
-    return _plain(rule)
+        return f"(?<={_set(rule[0], char_set)})" + _plain(rule[1:], many)
+    return _plain(rule, many)
 
 
 def _rest(rule: tuple[str, ...]) -> tuple[str, ...]:
@@ -154,7 +156,7 @@ def _codes(spec: str) -> set[int] | None:
     return out
 
 
-def _ahead() -> str:
+def _ahead(many) -> str:
     """What every match begins with: a character that is enough, or one that begins some rule before one that may follow there.
 
     Letters of intact text seldom stand so, and are passed over after a look or two.
@@ -167,20 +169,45 @@ def _ahead() -> str:
         else:
             first |= _codes(rule[0])
             second |= follows
-    return f"(?={one_of(alone, 64)}|{one_of(first)}{one_of(second)})"
+    return f"(?={many(alone)}|{many(first)}{many(second)})"
+
+
+def char_set(codes) -> str:
+    return char_class("".join(map(chr, codes)))
+
+
+def _sequences(start: str, many) -> str:
+    return f"(?=[^\\x00-\\x7F]){_ahead(many)}(?:{'|'.join(_pinned(r, start, many) for r in SEQUENCES)})"
+
+
+def _counted(many) -> str:
+    return rf"(?=[\s\S]{{0,2}}[^\x00-\x7F])(?:{'|'.join(_plain(r, many) for r in SEQUENCES)})"
 
 
 NON_ASCII = r"[^\x00-\x7F]"
-#: Counts: matches from left to right that don't overlap.
-BADNESS = "|".join(_plain(r) for r in SEQUENCES)
+AT_START, AT_LINE = r"(?<![\s\S])", r"(?<![^\n])"
+#: Counts: matches from left to right that don't overlap; each has a character beyond ASCII among its first three.
+BADNESS = _counted(one_of)
 #: Whether there is any, found faster: ASCII characters, and most others, are passed over.
-IS_BAD = f"(?=[^\\x00-\\x7F]){_ahead()}(?:{'|'.join(_pinned(r, r'(?<![\s\S])') for r in SEQUENCES)})"
+IS_BAD = _sequences(AT_START, one_of)
 #: True of a text if any of its lines is bad on its own; sometimes of others.
-MAY_BE_BAD = f"(?=[^\\x00-\\x7F]){_ahead()}(?:{'|'.join(_pinned(r, r'(?<![^\n])') for r in SEQUENCES)})"
+MAY_BE_BAD = _sequences(AT_LINE, one_of)
+#: The same for engines that look up a class at once.
+BADNESS_OF_CLASSES, IS_BAD_OF_CLASSES = _counted(char_set), _sequences(AT_START, char_set)
+#: The bare rules, without a look ahead.
+BADNESS_OF_RULES = "|".join(_plain(r, char_set) for r in SEQUENCES)
+
+
+def outside(characters) -> str:
+    """A pattern of one character beyond ASCII that is not among ``characters``."""
+    return rf"(?=[^\x00-\x7F])(?!{one_of({ord(c) for c in characters if ord(c) >= 0x80})})[\s\S]"
+
 
-CONTINUATION = char_class(chars.CONTINUATION)
 #: Runs of characters that look like UTF-8 read with a single-byte codec.
-UTF8_RUN = f"(?<!{char_class(chars.STRICT)})(?:{char_class(chars.LEAD_2)}{CONTINUATION}|{char_class(chars.LEAD_3)}{CONTINUATION}{{2}}|{char_class(chars.LEAD_4)}{CONTINUATION}{{3}})+"
+UTF8_RUN = (
+    f"(?<!{char_class(chars.STRICT)})(?:{char_class(chars.LEAD_2)}{char_class(chars.CONTINUATION)}"
+    f"|{char_class(chars.LEAD_3)}{char_class(chars.CONTINUATION)}{{2}}|{char_class(chars.LEAD_4)}{char_class(chars.CONTINUATION)}{{3}})+"
+)
 
 # Patterns on bytes, each written as the character of its number.
 # --- Fixed values: UTF-8 in which a blank stands for byte A0, where that is likely.

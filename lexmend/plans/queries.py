@@ -94,7 +94,7 @@ def _mojibake(spark, sf_dir, codec: str = "latin-1") -> DataFrame:
 @query(
     f"""
     SELECT doc_id, pos, badness FROM (
-      SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(len(regexp_extract_all(CASE WHEN i < len(l) THEN l[i] || chr(10) ELSE l[i] END, {re2(patterns.BADNESS)})) AS INT) AS badness
+      SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(len(regexp_extract_all(CASE WHEN i < len(l) THEN l[i] || chr(10) ELSE l[i] END, {re2(patterns.BADNESS_OF_RULES)})) AS INT) AS badness
       FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split({bytes_as("latin-1")}, chr(10)) AS l FROM documents)))
     WHERE badness > 0
     """
@@ -106,7 +106,7 @@ def bad_lines(spark, sf_dir):
 @query(
     f"""
     SELECT lang, count(*) AS texts, CAST(sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_texts, CAST(sum(b) AS BIGINT) AS badness
-    FROM (SELECT lang, len(regexp_extract_all({bytes_as("latin-1")}, {re2(patterns.BADNESS)})) AS b FROM documents) GROUP BY lang
+    FROM (SELECT lang, len(regexp_extract_all({bytes_as("latin-1")}, {re2(patterns.BADNESS_OF_RULES)})) AS b FROM documents) GROUP BY lang
     """
 )
 def badness_by_lang(spark, sf_dir):
@@ -115,7 +115,7 @@ def badness_by_lang(spark, sf_dir):
 
 @query(
     f"""
-    SELECT doc_id, CAST(len(regexp_extract_all({bytes_as("sloppy-windows-1252")}, {re2(patterns.BADNESS)})) AS BIGINT) AS badness
+    SELECT doc_id, CAST(len(regexp_extract_all({bytes_as("sloppy-windows-1252")}, {re2(patterns.BADNESS_OF_RULES)})) AS BIGINT) AS badness
     FROM documents ORDER BY badness DESC, doc_id LIMIT 20
     """
 )
