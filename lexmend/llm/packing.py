@@ -9,7 +9,7 @@ boundary wastes the fewest tokens. Inside a bucket, pieces in a hashed order fil
 Places inside a bucket come from counts of hash ranges plus a place inside the range, so a bucket
 with a third of all pieces is never ordered in one task, and all batches but a bucket's last are full.
 
-Defined cases: a text without words (null too) makes no piece and no row. Rows that share an id
+Defined cases: a document without tokens, or whose length is null, makes no piece and no row. Rows that share an id
 share the hash; their pieces are ordered by number, then length. Empty tables give empty results.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import as_text, n_words, staged
+from lexmend.llm.common import as_text, staged
 
 #: Pieces that one range of a bucket holds on average.
 RANGE_ROWS = 20_000
@@ -54,23 +54,23 @@ def choose_boundaries(histogram: dict[int, int], n_buckets: int) -> list[int]:
 def pieces(df: DataFrame, id_col: str, length: Column, max_length: int) -> DataFrame:
     """id, piece, start, length: every document in pieces of at most ``max_length``."""
     whole = F.ceil(F.col("total") / max_length).cast("int")
+    number = F.explode(F.when(F.col("total") > 0, F.sequence(F.lit(0), whole - 1)))
     return (
         df.select(F.col(id_col).alias("id"), length.cast("long").alias("total"))
-        .filter("total > 0")
-        .select("id", "total", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
+        .select("id", "total", number.alias("piece"))
         .select("id", "piece", (F.col("piece").cast("long") * max_length).alias("start"), F.least(F.lit(max_length).cast("long"), F.col("total") - F.col("piece").cast("long") * max_length).cast("int").alias("length"))
     )
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, max_length: int = 2048, n_buckets: int = 16, token_budget: int = 65_536, seed: int = 11) -> DataFrame:
+def pack(df: DataFrame, length: Column, id_col: str = "doc_id", max_length: int = 2048, n_buckets: int = 16, token_budget: int = 65_536, seed: int = 11) -> DataFrame:
     """One row for each piece: id, piece, start, length, bucket (padded length), batch (number inside the bucket), slot.
 
-    ``length`` gives a document's tokens; unset, its words. ``start`` and ``length`` are in that unit.
+    ``length`` is a document's number of tokens, such as :func:`lexmend.llm.tokens.token_counts` gives.
     """
     if token_budget < max_length:
         raise ValueError("token_budget must hold a piece of max_length")
     spread = F.xxhash64(as_text(F.col("id")), F.col("piece"), F.lit(seed))
-    cut = staged(pieces(df, id_col, n_words(F.col(text_col)) if length is None else length, max_length).withColumn("h", spread), "pack-pieces")
+    cut = staged(pieces(df, id_col, length, max_length).withColumn("h", spread), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_length rows
     ends = choose_boundaries(histogram, n_buckets)
     bucket, ranges = F.lit(max_length), F.lit(1).cast("long")

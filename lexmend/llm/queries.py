@@ -17,6 +17,7 @@ from lexmend.llm.packing import pack
 from lexmend.llm.quality_rules import quality_rules
 from lexmend.llm.simhash import hex_digits, simhash_components
 from lexmend.llm.span_dedup import drop_repeated_spans
+from lexmend.llm.tokens import token_counts
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(token_counts(read(spark, sf_dir, "documents")), F.col("tokens"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,16 @@ import math
 from collections import Counter, defaultdict
 from hashlib import md5
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmend.llm.common import n_words
 from lexmend.llm.mixing import mix, mix_plan
 from lexmend.llm.packing import choose_boundaries, pack
+from lexmend.llm.tokens import PATTERN, VOCABULARY, encoder, token_counts
 
 SCHEMA = "doc_id long, text string, source string"
 ROWS = [(i, " ".join(["w"] * (i * 7 % 60)), ("a", "b", "c", "d", None)[i % 5] if i % 3 else "a") for i in range(400)] + [(None, "x y", "b"), (7, None, "c"), (8, "", "z"), (9, "one", "z"), (9, "one", "z"), (11, "only here", "é")]
@@ -119,7 +122,8 @@ def test_pack(spark, monkeypatch, range_rows):
 
     monkeypatch.setattr(packing, "RANGE_ROWS", range_rows)
     rows = [(i, "w " * (i * 13 % 90)) for i in range(300)] + [(None, "a b"), (1, None), (5, ""), (6, "x " * 1000), (6, "x " * 1000)]
-    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), max_length=64, n_buckets=4, token_budget=256).collect()
+    words_of = n_words(F.col("text"))
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), words_of, max_length=64, n_buckets=4, token_budget=256).collect()
     # No word is lost, and no batch is over its budget.
     words = Counter()
     for r in got:
@@ -138,6 +142,17 @@ def test_pack(spark, monkeypatch, range_rows):
         held = 256 // bucket
         own = [batches[bucket, b] for b in range(len([k for k in batches if k[0] == bucket]))]
         assert all(sorted(x) == list(range(held)) for x in own[:-1]) and sorted(own[-1]) == list(range(len(own[-1])))
-    assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pack(spark.createDataFrame([], "doc_id long, text string"), words_of).count() == 0
     with pytest.raises(ValueError):
-        pack(spark.createDataFrame(rows, "doc_id long, text string"), token_budget=10)
+        pack(spark.createDataFrame(rows, "doc_id long, text string"), words_of, token_budget=10)
+
+
+@pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary")
+def test_token_counts(spark):
+    rows = [(1, "The quick brown fox, naïve café 😀\n\nx"), (2, None), (3, ""), (None, "<|endoftext|>"), (4, "word " * 5000), (4, "word " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit("clash"))
+    encode = encoder(Path(VOCABULARY).read_bytes(), PATTERN)
+    got = Counter((r["doc_id"], r["tokens"]) for r in token_counts(df).collect())
+    assert got == Counter((i, len(encode.encode_ordinary(t or ""))) for i, t in rows)
+    assert all(encode.decode(encode.encode_ordinary(t)) == t for _, t in rows if t)
+    assert token_counts(df.limit(0)).count() == 0

@@ -1,12 +1,14 @@
 """The stages one after the other, each against what it was given."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from lexmend.llm import simhash
 from lexmend.llm.queries import oracle_sql, queries
+from lexmend.llm.tokens import PATTERN, VOCABULARY, encoder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,7 +37,8 @@ def test_stages(spark, tmp_path):
     packed = Counter()
     for r in held[5].collect():
         packed[r["doc_id"]] += r["length"]
-    assert packed == Counter({i: n * len(rows[3][i].split()) for i, n in mixed.items() if rows[3][i].split()})
+    encode = encoder(Path(VOCABULARY).read_bytes(), PATTERN).encode_ordinary
+    assert packed == Counter({i: n * len(encode(rows[3][i])) for i, n in mixed.items()})
 
 
 def test_run(spark):

@@ -14,7 +14,7 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op4_source_mixing", "op7_exact_dedup", "op8_quality_rules", "op9_packing"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op4_source_mixing", "op7_exact_dedup", "op8_quality_rules"])
 def test_native(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(queries()[name](spark, FOLDER)))
 
