@@ -18,6 +18,7 @@ from lexmend.llm.exact_dedup import drop_exact_copies
 from lexmend.llm.mixing import mix
 from lexmend.llm.packing import pack
 from lexmend.llm.simhash import drop_near_copies
+from lexmend.llm.tokens import token_counts
 from lexmend.plans.home import shared_dir
 
 #: Below this score a text's language is taken to be unknown.
@@ -47,7 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-budget batches in length buckets of least padding."""
-    return pack(docs)
+    return pack(token_counts(docs), F.col("tokens"))
 
 
 STAGES = [
