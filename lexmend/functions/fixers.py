@@ -96,7 +96,7 @@ def normalize(c: ColumnOrName, form: str = "NFC") -> Column:
         raise ValueError(f"form must be one of {', '.join(NORMAL_FORMS)}, not {form!r}")
     text = col(c)
     way = "compose" if form in ("NFC", "NFKC") else "decompose"
-    matters = text.rlike(patterns.one_of(unsettled(form)))
+    matters = (F.octet_length(text) != F.char_length(text)) & text.rlike(patterns.beyond_ascii(unsettled(form)))
     done = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(way), F.when(matters, text), F.lit(form in ("NFKC", "NFKD")))
     return F.when(matters, done).otherwise(text)
 

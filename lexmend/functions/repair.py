@@ -42,11 +42,7 @@ def _touching(config: TextFixerConfig) -> tuple[str | None, str | None]:
     if config.normalization:
         held |= fixers.unsettled(config.normalization)
     plain = {x for x in held if x < 0x80}
-    low = {x for x in held - plain if x < 0x300}
-    # Most characters of Latin text end at the first or the second of these looks.
-    parts = [patterns.one_of(low)] if low else []
-    parts += [f"(?=[^\\x00-\\u02FF]){patterns.one_of(held - plain - low)}"] if held - plain - low else []
-    return patterns.char_set(plain) if plain else None, f"(?=[^\\x00-\\x7F])(?:{'|'.join(parts)})" if parts else None
+    return patterns.char_set(plain) if plain else None, patterns.beyond_ascii(held - plain) if held - plain else None
 
 
 def entity_part(c: ColumnOrName, config: TextFixerConfig, whole: bool) -> Column | None:

@@ -56,6 +56,14 @@ def one_of(codes, width: int = 8) -> str:
     return "(?:" + "|".join(f"(?={group(p[0][0], p[-1][1])}){one_of(p, width)}" for p in parts) + ")"
 
 
+def beyond_ascii(codes) -> str:
+    """A pattern for one of many code points, none of ASCII. Most characters of Latin text end at its first or second look."""
+    low = {c for c in codes if c < 0x300}
+    parts = [one_of(low)] if low else []
+    parts += [rf"(?=[^\x00-\u02FF]){one_of(set(codes) - low)}"] if set(codes) - low else []
+    return rf"(?=[^\x00-\x7F])(?:{'|'.join(parts)})"
+
+
 # --- Fixed values: sequences of characters that intact text hardly has. Each is a list of sets;
 # --- a set names categories, ``=`` brings single characters, and the names below are special.
 SPECIAL = {"latin": "A-Za-z", "lower": "a-z", "space": SPACE_CHAR, "word": WORD_CHAR}
