@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmend.llm.arrow import slices
 from lexmend.llm.common import place, row_mark, staged
 
 #: Lines that decide whether a boundary follows, the average distance of boundaries, and the most lines of a chunk.
@@ -67,7 +68,7 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, start, stop, digest, body = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for a, b, x in chunks(text):
@@ -112,7 +113,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, totals, counts, places = [], [], [], []
             for text, held in zip(batch.column(1), batch.column(2), strict=True):
                 text, held = text.as_py(), held.as_py() or []

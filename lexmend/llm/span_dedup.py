@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmend.llm.arrow import slices
 from lexmend.llm.common import drop_staged, place, row_mark, staged
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 16, 25
@@ -80,7 +81,7 @@ def run_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, start, stop, digest = [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py() or ""
@@ -138,7 +139,7 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, totals, counts, places = [], [], [], []
             for text, held in zip(batch.column(1), batch.column(2), strict=True):
                 text, held = text.as_py(), held.as_py() or []
