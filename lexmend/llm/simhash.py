@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import as_text, drop_staged, staged
+from lexmend.llm.arrow import slices
+from lexmend.llm.common import drop_staged, staged
 
 BITS = 64
 SEED = 42
@@ -41,20 +42,23 @@ BLOCK = 4096
 PROBE_COST = 40.0
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """SimHash of the word shingles of one text, as an unsigned number."""
+def shingle_hashes(text: str | None, n: int) -> list[int]:
+    """Hashes of the word shingles in their order; a text shorter than one is a shingle itself."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
-        return 0
+        return []
     whole = b" ".join(found)
     last = np.cumsum([len(w) + 1 for w in found]) - 1
     first = np.concatenate(([0], last[:-1] + 1)).tolist()
     ends = last.tolist()
     digest = xxhash.xxh64_intdigest
     if len(found) < n:
-        hashes = [digest(whole, SEED)]
-    else:
-        hashes = [digest(whole[a:b], SEED) for a, b in zip(first, ends[n - 1 :], strict=False)]
+        return [digest(whole, SEED)]
+    return [digest(whole[a:b], SEED) for a, b in zip(first, ends[n - 1 :], strict=False)]
+
+
+def majority(hashes: np.ndarray | list[int]) -> int:
+    """The bits that more than half of the hashes have."""
     half, total = len(hashes), np.zeros(BITS, dtype=np.int64)
     for at in range(0, half, 8192):  # long texts count up in steps
         part = np.array(hashes[at : at + 8192], dtype="<u8")
@@ -63,6 +67,11 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str | None, n: int = 3) -> int:
+    """SimHash of the word shingles of one text, as an unsigned number."""
+    return majority(shingle_hashes(text, n))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """One row for each row of ``df``: id and fp, the fingerprint as a signed long."""
 
@@ -163,7 +172,7 @@ def plan_parts(fps: DataFrame, distance: int, choices: tuple[int, ...] = (2, 3,
             base = max(exact.get(every.index(part), 0.0), 0.5 * n * n * float(np.prod(1 - differ[list(part.bits)])))
             shells = np.poly(-odds[list(part.bits)])  # elementary symmetric sums: pairs by distance inside the part
             row = {-1: 0.0}
-            for t in range(distance + 1):
+            for t in range(min(distance, len(part.bits)) + 1):
                 probes = comb(len(part.bits), t)
                 row[t] = base * float(shells[: t + 1].sum()) + PROBE_COST * n * probes
             cost.append(row)
@@ -218,45 +227,91 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def links(fps: DataFrame, distance: int = 3, parts: list[Part] | None = None) -> DataFrame:
-    """Edges (a, b), a < b, whose components are those of all links among the distinct ``fps`` (column fp)."""
-    spark = fps.sparkSession
-    masks = probe_masks(plan_parts(fps, distance) if parts is None else parts)
-    if not masks:
-        return spark.createDataFrame([], "a long, b long")
+def dealt_probes(fps: DataFrame, masks: list[int], *more: str) -> DataFrame:
+    """Rows (key, fp, *more) of every mask, sorted by key; keys above ``BLOCK`` are dealt out as pairs of blocks."""
     # The mask's number is part of the key: equal values under two masks are different buckets.
     key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
-    probes = fps.select(key.alias("key"), "fp")
+    probes = fps.select(key.alias("key"), "fp", *more)
     hot = staged(probes.groupBy("key").count().filter(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-hot")
-    own = F.pmod(F.xxhash64("fp", F.lit(SEED)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*(more or ("fp",)), F.lit(SEED)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     dealt = (
         probes.join(hot, F.col("key") == F.col("hot_key"), "left")
-        .select("key", "fp", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        .select("key", "fp", *more, F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", *more)
     )
+    return dealt.repartition("key").sortWithinPartitions("key")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-        def found(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_edges(k, f, distance)
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of the batches, cut where the first (int64, sorted) changes, so that no run of it is parted."""
+    held: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        own = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        held = own if held is None else tuple(np.concatenate(x) for x in zip(held, own, strict=True))
+        if not len(held[0]):
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
+        if cut:
+            yield tuple(x[:cut] for x in held)
+            held = tuple(x[cut:] for x in held)
+    if held is not None and len(held[0]):
+        yield held
+
+
+def links(fps: DataFrame, distance: int = 3, parts: list[Part] | None = None) -> DataFrame:
+    """Edges (a, b), a < b, whose components are those of all links among the distinct ``fps`` (column fp)."""
+    spark = fps.sparkSession
+    masks = probe_masks(plan_parts(fps, distance) if parts is None else parts)
+    if not masks:
+        return spark.createDataFrame([], "a long, b long")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, f in whole_runs(batches):
+            a, b = bucket_edges(k, f.view(np.uint64), distance)
             a, b = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return dealt_probes(fps, masks).mapInArrow(search, "a long, b long").filter("a <> b").distinct()
 
-        for batch in batches:
-            k = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            f = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if not len(k):
-                continue
-            cut = int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
-            held_k, held_f = k[cut:], f[cut:]
-            if cut:
-                yield found(k[:cut], f[:cut])
-        if len(held_k):
-            yield found(held_k, held_f)
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").filter("a <> b").distinct()
+def bucket_pairs(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, distance: int, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs inside runs of equal keys within ``distance`` in ``fps`` and ``slack`` in ``more``."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+    for d in range(1, min(SMALL, len(keys))):
+        at = np.flatnonzero(small[:-d] & (keys[:-d] == keys[d:]))
+        at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= distance]
+        yield at, at + d
+    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = fps[s : s + n]
+        for i in range(0, n, 256):
+            a, b = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= distance)
+            far = b > a
+            yield s + i + a[far], s + i + b[far]
+
+
+def near_pairs(classes: DataFrame, distance: int, slack: int, parts: list[Part] | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, of nodes within ``distance`` in fp and ``slack`` in more; ``classes`` has node, fp, more."""
+    spark = classes.sparkSession
+    if parts is None:
+        # Wide distances ask for more parts than narrow ones; the allocator compares them.
+        parts = plan_parts(classes.select("fp"), distance, tuple(range(2, min(distance + 1, 10) + 1)))
+    masks = probe_masks(parts)
+    if not masks:
+        return spark.createDataFrame([], "a long, b long")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, f, m, node in whole_runs(batches):
+            f, m = f.view(np.uint64), m.view(np.uint64)
+            for at, to in bucket_pairs(k, f, m, distance, slack):
+                near = np.bitwise_count(m[at] ^ m[to]) <= slack
+                a, b = node[at[near]], node[to[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return dealt_probes(classes, masks, "more", "node").mapInArrow(search, "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -307,13 +362,84 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, n: int = 3) -> DataFrame:
-    """The rows of ``df`` that hold the smallest id of their component, with all their columns.
+#: Mixes a shingle's hash into the one of the second fingerprint.
+SECOND = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def sketch(text: str | None, n: int) -> tuple[int, int, np.ndarray]:
+    """Two fingerprints of the set of word shingles, by independent hashes, and the set's sorted hashes."""
+    own = np.unique(np.array(shingle_hashes(text, n), dtype=np.uint64))
+    mixed = (own ^ (own >> np.uint64(30))) * SECOND
+    return majority(own), majority(mixed ^ (mixed >> np.uint64(31))), own
+
+
+def sketches(rows: DataFrame, n: int) -> DataFrame:
+    """One row for each row of ``rows`` (id, row, text): id, row, fp, more and node, the hash of the shingle set."""
 
-    Ids are taken to be those of single documents; rows that share an id stay or go together.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(x.as_py(), n) for x in batch.column(2)]
+            columns = ([x for x, _, _ in made], [x for _, x, _ in made], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for _, _, x in made])
+            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed], names=["id", "row", "fp", "more", "node"])
+
+    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, row long, fp long, more long, node long")
+
+
+def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
+    """The shingle hashes of each of ``rows`` (node, text): node, shingles."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [sketch(x.as_py(), n)[2].view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.mapInArrow(each, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.filter(shared >= F.lit(least_similarity) * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, n: int = 3, least_similarity: float | None = None, slack: int = 20) -> DataFrame:
+    """One row of ``df`` for each component, with all its columns: that with the smallest id, null ids last.
+
+    Rows are told apart by id and text; of rows that repeat both, one stays. Without
+    ``least_similarity`` components are those of links within ``distance``. With it, such links
+    are candidates that a second fingerprint passes within ``slack``, and the ones whose sets of
+    ``n``-word shingles have that Jaccard similarity count.
     """
-    gone = simhash_components(df, id_col, text_col, distance, n).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    gone = staged(gone, "simhash-gone")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row"), "text")
+    rows = staged(sketches(texts, n) if least_similarity is not None else fingerprints(texts.select(F.struct("id", "row").alias("k"), "text"), "k", "text", n).select("id.id", "id.row", "fp", F.col("fp").alias("node")), "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
+    if least_similarity is None:
+        classes = staged(rows.groupBy("node").agg(first.alias("least")), "simhash-classes")
+        edges = links(classes.select(F.col("node").alias("fp")), distance)
+    else:
+        classes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), first.alias("least")), "simhash-classes")
+        pairs = staged(near_pairs(classes.select("node", "fp", "more"), distance, slack), "simhash-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        holders = staged(wanted.join(classes, "node").select("node", F.col("least.row").alias("_row"), F.col("least.id").alias("_id")), "simhash-holders")
+        held = texts.join(holders, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+        sets = staged(shingle_sets(held, n).dropDuplicates(["node"]), "simhash-sets")
+        edges = similar(pairs, sets, least_similarity)
+    roots = classes.join(components(edges).withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    kept = roots.groupBy("root").agg(F.min("least").alias("least"))
+    # A row of each id and text, and whether there are more of it.
+    marks = rows.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"))
+    marks = marks.join(kept.select(F.col("least.id").alias("_id"), F.col("least.row").alias("_row")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    gone = staged(marks.select(F.col("id").alias("_gone"), F.col("row").alias("_gone_row"), F.col("_row").isNotNull().alias("_stays"), "n").filter("not _stays or n > 1"), "simhash-gone")
     names = [f"_c{i}" for i in range(len(df.columns))]
     at = dict(zip(df.columns, names, strict=True))
-    return df.toDF(*names).join(gone, F.col(at[id_col]).eqNullSafe(F.col("_gone")), "left_anti").select(*[F.col(x).alias(c) for c, x in at.items()])
+    flat, back = df.toDF(*names), [F.col(x).alias(c) for c, x in at.items()]
+    same = F.col(at[id_col]).eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(at[text_col]).cast("string")) == F.col("_gone_row"))
+    single = flat.join(gone, same, "left_anti").select(*back)
+    if gone.filter("_stays").isEmpty():
+        return single
+    again = flat.join(gone.filter("_stays"), same).dropDuplicates(["_gone", "_gone_row"]).select(*back)
+    return single.union(again)

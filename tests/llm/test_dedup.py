@@ -225,3 +225,17 @@ def test_sentences_tile():
         text = "".join(rng.choice("ab .!?\n\"'") for _ in range(rng.randint(0, 40)))
         spans = span_dedup.sentences(text)
         assert "".join(text[a:b] for a, b in spans) == text.lstrip()
+
+
+@pytest.mark.parametrize("settings", [{}, {"distance": 14, "n": 5, "least_similarity": 0.8}])
+def test_near_copies_go_by_row(spark, settings):
+    """Null and shared ids neither take clean texts along nor keep copies."""
+    text = " ".join(f"w{i}" for i in range(400))
+    own = [" ".join(f"{c}{i * 7 % 31}{i}" for i in range(60)) for c in "defgh"]
+    rows = [(7, text), (None, text + " tail"), (7, text + " end"), (None, own[0]), (None, own[1]), (9, text + " more"), (9, own[2]), (12, own[3]), (12, own[3])]
+    got = sorted(r["text"] for r in simhash.drop_near_copies(frame(spark, rows), **settings).collect())
+    assert len([t for t in got if t.startswith("w0 ")]) == 1
+    assert [t for t in got if not t.startswith("w0 ")] == sorted(own[:4])
+    nulls = [(None, text), (None, text + " tail"), (None, own[4])]
+    assert len(simhash.drop_near_copies(frame(spark, nulls), **settings).collect()) == 2
+    assert simhash.drop_near_copies(frame(spark, rows).limit(0), **settings).count() == 0
