@@ -23,6 +23,8 @@ from lexmend.plans.home import shared_dir
 
 #: Below this score a text's language is taken to be unknown.
 LEAST_SCORE = 0.05
+#: Near copies share this much of their sets of five-word shingles; the distance is wide enough to find them.
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 14
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that with the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each component of texts with similar shingle sets, that with the smallest id."""
+    return drop_near_copies(docs, distance=NEAR_DISTANCE, n=NEAR_WORDS, least_similarity=NEAR_SIMILARITY)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexmend.llm import line_dedup, simhash, span_dedup
 from lexmend.llm.exact_dedup import drop_exact_copies, exact_groups
 
@@ -227,6 +228,30 @@ def test_sentences_tile():
         assert "".join(text[a:b] for a, b in spans) == text.lstrip()
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_with_edited_phrases_go(spark):
+    """Similarity decides, far beyond 3 bits; texts of one fingerprint's reach that aren't similar stay."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        copy = list(base)
+        at, width = rng.randrange(10, 120), rng.randint(1, 14)
+        copy[at : at + width] = [rng.choice(vocabulary) for _ in range(width)]
+        rows += [(2 * g + 1, " ".join(base)), (2 * g, " ".join(copy))]
+    near = {i for (i, a), (_, b) in zip(rows[::2], rows[1::2], strict=True) if jaccard(a, b) >= 0.8}
+    wide = [i for (i, a), (_, b) in zip(rows[::2], rows[1::2], strict=True) if i in near and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 3]
+    assert len(wide) > 20
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    assert got <= {i for i, _ in rows} and not got & set(wide)
+    assert got == {i for i, _ in rows} - near
+
+
 @pytest.mark.parametrize("settings", [{}, {"distance": 14, "n": 5, "least_similarity": 0.8}])
 def test_near_copies_go_by_row(spark, settings):
     """Null and shared ids neither take clean texts along nor keep copies."""
