@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
 A paragraph is a line. A multinomial logistic regression over its word uni- and bigrams, made
-sparse by an L1 penalty, tells licence families from the unknown class. It is trained on the
+sparse by an L1 penalty, tells licence families from the unknown class. Background lines that hold
+a template's shingle are neither counted nor trained on. It is trained on the
 driver from the template sentences below (whole, cut and embedded in other words), from sentences
 that speak of licences without granting one, and from a bounded sample of the corpus's own lines
 (``background_docs`` documents, ``background_lines`` lines of each). The logits are calibrated by
@@ -10,7 +11,7 @@ a temperature fitted on held-out examples; a paragraph whose likeliest family st
 shingles occur in the templates of that family (shorter paragraphs count as one shingle).
 
 Scoring is one projection of built-in functions. The vocabulary has no n-gram made up of words
-that are common in the background, so a text without any of the remaining words has no feature at
+that are common in the background (a template whose words are all common keeps its rarest), so a text without any of the remaining words has no feature at
 all; its paragraphs are unknown by the model itself, and it skips the scoring.
 
 Defined cases: null and empty texts have no licence. Repeated rows are judged alike. Empty tables
@@ -214,10 +215,20 @@ def examples(background: list[list[str]], seed: int = 5) -> tuple[list[list[str]
     return xs, ys
 
 
-def fit(background: list[str], l1: float = 2e-4, steps: int = 300, common: float = 0.005, seed: int = 5) -> LicenseModel:
-    lines = [t for t in map(tokens, background) if t]
+def usual_words(lines: list[list[str]], common: float) -> set[str]:
+    """Words of more than that share of the lines; of each template the words that the fewest families use stay out if all its words were common."""
     seen = Counter(w for line in lines for w in set(line))
     usual = {w for w, n in seen.items() if n > common * len(lines)}
+    spread = Counter(w for f in TEMPLATES for w in {w for t in texts_of(f) for w in tokens(t)})
+    whole = [set(tokens(t)) for f in TEMPLATES for t in texts_of(f)]
+    return usual - {w for own in whole if own <= usual for w in own if spread[w] == min(spread[x] for x in own)}
+
+
+def fit(background: list[str], l1: float = 2e-4, steps: int = 300, common: float = 0.005, seed: int = 5) -> LicenseModel:
+    # Lines that hold a run of a template say nothing about what is common elsewhere.
+    known = set().union(*map(template_shingles, TEMPLATES))
+    lines = [t for t in map(tokens, background) if t and not shingles(t) & known]
+    usual = usual_words(lines, common)
     vocabulary = sorted({g for f in TEMPLATES for t in texts_of(f) for g in grams(tokens(t)) if set(g.split()) - usual})
     at = {g: i for i, g in enumerate(vocabulary)}
     xs, ys = examples(lines, seed)

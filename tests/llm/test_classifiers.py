@@ -205,3 +205,14 @@ def test_dup_windows_that_overlap(spark):
     text = " ".join(["a"] * 30) + " x y z " + " ".join(map(str, range(9))) + " q " + " ".join(map(str, range(9)))
     got = quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert got["n_repeat_words"] == features_by_hand(text)[4]
+
+
+def test_frequent_notice_keeps_its_features():
+    """A notice that a third of the documents have, alone on its line or in a longer one, is still found."""
+    rng = random.Random(6)
+    notice = "Licensed under the Apache License, Version 2.0."
+    for line in (notice, f"Copyright by the authors of this file. {notice} See elsewhere for more of it."):
+        model = licenses.fit([x for i in range(200) for x in (*[line][: i % 3 == 0], speech(rng, "en", 12), speech(rng, "en", 8))])
+        assert license_by_hand(model, f"some words\n{notice}\nmore words")[::2] == ("apache", True)
+    usual = licenses.usual_words([["reserved", "of", "rights", "all"]] * 50, 0.005)
+    assert "of" in usual and not {"all", "rights", "reserved"} <= usual
