@@ -21,8 +21,8 @@ from lexmend.llm.simhash import drop_near_copies
 from lexmend.llm.tokens import token_counts
 from lexmend.plans.home import shared_dir
 
-#: Below this score a text's language is taken to be unknown.
-LEAST_SCORE = 0.05
+#: Texts whose n-grams are further than this from typical ones, in deviations, are in no known language.
+LEAST_FIT = -7.5
 #: Near copies share this much of their sets of five-word shingles; the distance is wide enough to find them.
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 14
 
@@ -30,7 +30,7 @@ NEAR_WORDS, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 14
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; texts without a letter, and those no language fits, go."""
     model = langid.fit(langid.training_rows(docs, crc_bucket(F.col("doc_id")) == 0))
-    return langid.keep_known(docs, model, least_score=LEAST_SCORE)
+    return langid.keep_known(docs, model, least_fit=LEAST_FIT)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

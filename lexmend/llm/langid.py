@@ -88,9 +88,25 @@ class LanguageModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, BINS + 1), np.float32))
     scales: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    #: For each language: log frequencies of the hashed n-grams, and mean and deviation of a text's mean of them.
+    profiles: np.ndarray = field(default_factory=lambda: np.zeros((0, BINS), np.float32))
+    typical: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.weights)))
-        table = np.ascontiguousarray(self.weights[:, :-1].T)
+        return self.means(texts, self.weights[:, :-1]) * SCALE + self.weights[:, -1]
+
+    def fits(self, texts: list[bytes]) -> np.ndarray:
+        """How far the likeliest language's n-grams are from typical, in deviations of held-out windows; short texts vary more."""
+        if not len(self.profiles):
+            return np.zeros(len(texts))
+        off = (self.means(texts, self.profiles) / len(SIZES) - self.typical[:, 0]) / self.typical[:, 1]
+        return off.max(axis=1) / np.sqrt(1 + SHORT / np.maximum([len(t) for t in texts], 1))
+
+    @staticmethod
+    def means(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """For each row of ``weights`` the mean weight over a text's n-grams, summed over their sizes."""
+        out = np.zeros((len(texts), len(weights)))
+        table = np.ascontiguousarray(weights.T)
         for a, b in groups(texts):
             data = np.frombuffer(b"".join(texts[a:b]), np.uint8).astype(np.uint64)
             lengths = np.array([len(t) for t in texts[a:b]])
@@ -104,7 +120,7 @@ class LanguageModel:
                 sums = np.add.reduceat(held, np.column_stack((start, stop)).ravel(), axis=0, dtype=np.float64)[::2]
                 some = stop > start
                 out[a:b][some] += sums[some] / (stop - start)[some, None]
-        return out * SCALE + self.weights[:, -1]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the product of the logistic margins of the family and of the language inside it."""
@@ -129,6 +145,8 @@ class LanguageModel:
 
 #: Mean weights are small numbers; frequencies are scaled so that the margin's step is of order one.
 SCALE = 40.0
+#: Frequency of an unseen n-gram in a profile, the letters under which chance doubles a text's variance, and the fewest held-out windows that tell a deviation.
+UNSEEN, SHORT, LEAST_HELD = 1e-5, 30, 10
 
 
 def vectors(texts: list[bytes]) -> np.ndarray:
@@ -206,7 +224,21 @@ def fit_texts(texts: list[bytes], langs: list[str]) -> LanguageModel:
     for p, q in pairs:
         rows = np.flatnonzero((y == p) | (y == q))
         add(rows, y[rows] == p)
-    return LanguageModel(families, pairs, np.array(weights), np.array(scales))
+    return LanguageModel(families, pairs, np.array(weights), np.array(scales), *fit_profiles(x, y))
+
+
+def fit_profiles(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Profiles of the languages, and what is typical of windows that they weren't made from; none if a language has too few of those."""
+    profiles, typical, per_size = [], [], len(SIZES) * SCALE
+    for lang in sorted(set(y)):
+        own = x[y == lang]
+        held = np.arange(len(own)) // 3 % 5 == 0  # windows of one document are neighbours
+        if held.sum() < LEAST_HELD or held.all():
+            return np.zeros((0, BINS), np.float32), np.zeros((0, 2))
+        profiles.append(np.log(own[~held].mean(axis=0) / per_size + UNSEEN))
+        z = own[held] @ profiles[-1] / per_size
+        typical.append((z.mean(), max(z.std(), 0.05)))
+    return np.array(profiles, np.float32), np.array(typical)
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,14 +253,16 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose text has a known language with at least ``least_score``."""
+def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.0, least_fit: float | None = None) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text has a known language with at least ``least_score``, and one that fits by ``least_fit``."""
     at = df.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(at).cast(pa.string()).to_pylist())
-            yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            langs, scores = model.predict(texts)
+            fits = np.zeros(len(texts)) if least_fit is None else model.fits([prepared(t) for t in texts])
+            yield batch.filter(pa.array([x != "und" and s >= least_score and (least_fit is None or f >= least_fit) for x, s, f in zip(langs, scores, fits.tolist(), strict=True)], pa.bool_()))
 
     return df.mapInArrow(each, df.schema)
 

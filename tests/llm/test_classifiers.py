@@ -216,3 +216,17 @@ def test_frequent_notice_keeps_its_features():
         assert license_by_hand(model, f"some words\n{notice}\nmore words")[::2] == ("apache", True)
     usual = licenses.usual_words([["reserved", "of", "rights", "all"]] * 50, 0.005)
     assert "of" in usual and not {"all", "rights", "reserved"} <= usual
+
+
+def test_unlearned_languages_and_junk_go(spark):
+    """An absolute fit: the duels of two languages can't reject a text that is neither."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    clean = speeches(900, 3)
+    foreign = ["Język polski należy do grupy zachodniosłowiańskiej i jest językiem urzędowym w Polsce", "Русский язык является одним из восточнославянских языков", "Kiswahili ni lugha ya Kibantu inayozungumzwa na watu wengi katika Afrika ya Mashariki"]
+    foreign += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(200)) for _ in range(5)]
+    rows = [(i, t, lang, "s", 0) for i, t, lang in clean] + [(10_000 + i, t, None, "s", 0) for i, t in enumerate(foreign)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert not [i for i in kept if i >= 10_000] and len(kept) > 0.995 * len(clean)
