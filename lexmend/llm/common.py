@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def row_mark() -> Column:
-    """Tells rows of one id apart, by their texts: 32 bits do for a shared id, 64 for the rows without one. Columns id and text."""
-    return F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.hash("text").cast("long"))
+def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with one more column, the last, and its name: a number that tells rows apart, the same at every reading.
+
+    A scan of files has it from the file and the place in it; other frames are written first.
+    """
+    name = next(n for n in ("_row_key", *(f"_row_key_{i}" for i in range(len(df.columns)))) if n not in df.columns)
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)), name
+        except AnalysisException:  # not a table that has row numbers
+            pass
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
+def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, r1, r2, text and key of every row of ``df``: r1 and r2, 128 bits, are shared only by rows that repeat id and text; the key by none."""
+    keyed, key = row_keyed(df)
+    blank = F.col("id").isNull()
+    rows = keyed.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("key"))
+    return rows.select("id", F.xxhash64("id", blank, "text").alias("r1"), F.xxhash64(F.lit("lexmend"), "text", blank, "id").alias("r2"), "text", "key")
+
+
+def repeated_rows(rows: DataFrame, cut: DataFrame, name: str) -> DataFrame:
+    """id, text, cut and copy of :func:`marked_rows`: what ``cut`` (r1, r2, cut) has for a text, and whether the row repeats another one."""
+    twice = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1").select("r1", "r2", "first")
+    marks = staged(cut.join(twice, ["r1", "r2"], "full").select(F.col("r1").alias("m1"), F.col("r2").alias("m2"), "cut", "first"), name)
+    drop_staged(cut)
+    # Merged at every size: a broadcast would hold for small corpora only, and then turn into a shuffle of the texts.
+    joined = rows.join(marks.hint("merge"), (F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2")), "left")
+    return joined.select("id", "text", "cut", F.coalesce(F.col("key") != F.col("first"), F.lit(False)).alias("copy"))
 
 
 def place(*more: str) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -139,58 +140,127 @@ def test_drop_near_copies(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [3, 11] or sorted(r["doc_id"] for r in got.collect()) == [3, 5, 11]
 
 
+def in_order(rows):
+    """Rows in the order of the corpus; copies of a row are marked."""
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        out.append((*r, r in seen))
+        seen.add(r)
+    return out
+
+
 def brute_lines(rows):
-    """Chunk after chunk in the order of the corpus."""
-    seen, out = {}, {}
-    key = lambda r: (r[0] is None, r[0] or 0)
-    for i, t in sorted({*rows}, key=key):
+    """Chunk after chunk in the order of the corpus, every match grown line by line."""
+    seen, out = {}, []
+    for i, t, copy in in_order(rows):
+        if copy:
+            out.append((i, *line_dedup.without(t, line_dedup.whole(t))))
+            continue
+        lines = (t or "").split("\n")
         cut = []
-        for a, b, body in line_dedup.chunks(t):
-            if seen.setdefault(body, (i, a)) != (i, a):
-                cut.append((a, b))
-        out[i, t] = line_dedup.without(t, cut)
+        for a, b, _, _, _, body in line_dedup.chunks(t):
+            first, at = seen.setdefault(body, (lines, a))
+            if first is lines and at == a:
+                continue
+            up = down = 0
+            while up < line_dedup.REACH and min(a, at) > up and lines[a - up - 1].strip() == first[at - up - 1].strip() and (lines[a - up - 1] == first[at - up - 1] or not lines[a - up - 1].strip()):
+                up += 1
+            end = at + b - a
+            while down < line_dedup.REACH and b + down < len(lines) and end + down < len(first) and (lines[b + down] == first[end + down] or not (lines[b + down] + first[end + down]).strip()):
+                down += 1
+            if sum(1 for x in lines[a - up : b + down] if x.strip()) > 1:
+                cut.append((a - up, b + down))
+        out.append((i, *line_dedup.without(t, sorted(cut))))
     return out
 
 
+def line_results(spark, rows, **more):
+    df = frame(spark, rows)
+    for name, value in more.items():
+        df = df.withColumn(name, F.lit(value))
+    got = line_dedup.drop_repeated_lines(df).collect()
+    return sorted(map(str, ((r["doc_id"], r["text"], r["n_lines"], r["removed_lines"]) for r in got)))
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     lines = [f"line {rng.random()}" for _ in range(400)]
     block = lines[:30]
-    rows = [(1, None), (2, ""), (3, "one line"), (4, "\n\n\n"), (5, "x\ny\n" * 1000)]
+    rows = [(1, None), (2, ""), (3, "one line"), (4, "\n\n\n"), (5, "x\ny\n" * 1000), (6, "one line"), (7, "é\n\nü"), (8, "ö\né\n \nü\n")]
     for i in range(10, 40):
-        own = [rng.choice(lines) for _ in range(rng.randint(1, 20))]
+        own = [rng.choice(lines[30:]) for _ in range(rng.randint(1, 20))]
         at = rng.randint(0, len(own))
         rows.append((i, "\n".join(own[:at] + (block if i % 3 else []) + own[at:])))
-    rows += [rows[-1]]
-    want = brute_lines(rows)
-    got = line_dedup.drop_repeated_lines(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        texts = [t for (i, t) in want if i == r["doc_id"]]
-        assert (r["text"], r["n_lines"], r["removed_lines"]) == want[r["doc_id"], texts[0]]
-    # A block of 30 lines is gone, up to its ends, from all documents but the first with it.
-    held = [r for r in got if r["doc_id"] >= 10 and r["doc_id"] % 3 and r["doc_id"] != 10]
-    assert all(sum(x in block for x in r["text"].split("\n")) < 12 for r in held)
+    # A row again, two texts under one id, and texts without one.
+    rows += [rows[-1], rows[-1], (12, "\n".join(lines[100:110])), (None, "\n".join(lines[200:206])), (None, "\n".join(lines[203:208])), (None, "\n".join(lines[200:206]))]
+    want = sorted(str((i, t, n, sum(b - a for a, b in gone))) for i, t, n, gone in brute_lines(rows))
+    assert line_results(spark, rows, hash="clash", start=1, cut="x", key=2) == want
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()}
+    # A block of 30 lines is gone from all documents but the first with it.
+    assert all(not set(t.split("\n")) & set(block) for i, t in got if i is not None and 10 < i < 39 and i % 3 and i != 12)
+    assert (3, "one line") in got and (6, "one line") in got
     assert line_dedup.drop_repeated_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_rows_are_repetitions(spark):
+    rng = random.Random(7)
+    text = "\n".join(" ".join(rng.choice("abcdef") * rng.randint(1, 9) for _ in range(12)) + "." for _ in range(30))
+    for drop, gone in ((line_dedup.drop_repeated_lines, "removed_lines"), (span_dedup.drop_repeated_spans, "removed_sentences")):
+        for rows in ([(1, text), (1, text), (2, text)], [(None, text)] * 3):
+            assert sorted(r[gone] for r in drop(frame(spark, rows)).collect()) == [0, 30, 30]
+
+
+def test_lines_of_one_hash(spark, monkeypatch):
+    """Chunks whose first hash is the same are told apart, and copies among them go."""
+    class Same:
+        def __init__(self, *_, **__):
+            pass
+
+        def digest(self):
+            return b"same"
+
+    blocks = ["\n".join(f"{c} {i}" for i in range(5)) for c in "abcd"]
+    rows = [(i, blocks[i % 4] + f"\nown {i}") for i in range(8)]
+    monkeypatch.setattr(line_dedup, "blake2b", lambda *_, **__: Same())
+    assert line_results(spark, rows) == sorted(str((i, t if i < 4 else f"own {i}", 6, 0 if i < 4 else 5)) for i, t in rows)
+
+
+def test_short_blocks_are_found():
+    """Of repeated blocks in unlike surroundings nearly all hold a whole chunk, from which the match grows."""
+    rng = random.Random(5)
+    for size, least in ((2, 0.7), (3, 0.85), (4, 0.95), (6, 0.99)):
+        held = 0
+        for _ in range(600):
+            block = [f"b{rng.random()}" for _ in range(size)]
+            a, b = ({x[5] for x in line_dedup.chunks("\n".join([f"{rng.random()}", f"{rng.random()}", *block, f"{rng.random()}"]))} for _ in range(2))
+            held += bool(a & b)
+        assert held > least * 600
+
+
 def test_line_boundaries_resist_shifts():
     rng = random.Random(1)
-    lines = [f"l{rng.random()}" for _ in range(200)]
-    a, b = line_dedup.boundaries(lines), line_dedup.boundaries(["new", *lines])
-    assert len({x + 1 for x in a} & set(b)) > 0.8 * len(a)
+    hashes = [rng.getrandbits(64) for _ in range(200)]
+    a, b = line_dedup.boundaries(hashes), line_dedup.boundaries([5, *hashes])
+    assert len({x + 1 for x in a} & set(b)) > 0.98 * len(a)
+    assert max(np.diff([0, *line_dedup.boundaries([7] * 500)])) <= line_dedup.MOST
 
 
 def brute_spans(rows):
-    seen, out = {}, {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+    """Every run of several sentences with enough words, of any length."""
+    seen, out = {}, []
+    for i, t, copy in in_order(rows):
         if t is None:
+            out.append((i, None))
             continue
+        spans = span_dedup.sentences(t)
+        bodies = [t[a:b].lower().split() for a, b in spans]
         cut = []
-        for a, b, h in span_dedup.runs(t, span_dedup.sentences(t)):
-            if seen.setdefault(h, (i, a)) != (i, a):
-                cut.append((a, b))
-        out[i] = span_dedup.without(t, cut)[0]
+        for a in range(len(spans)):
+            for b in range(a + 2, min(a + 12, len(spans)) + 1):
+                run = [w for x in bodies[a:b] for w in x]
+                if len(run) >= span_dedup.LEAST_WORDS and (copy or seen.setdefault(" ".join(run), (i, t, a)) != (i, t, a)):
+                    cut.append((a, b))
+        out.append((i, span_dedup.without(t, cut)[0]))
     return out
 
 
@@ -201,23 +271,30 @@ def sentence(rng, n):
 def test_span_dedup(spark):
     rng = random.Random(3)
     passage = " ".join(sentence(rng, rng.randint(5, 14)) for _ in range(7))
-    long = sentence(rng, 60)
-    rows = [(1, None), (2, ""), (3, "Short."), (4, passage + " " + passage)]
+    short = " ".join(sentence(rng, n) for n in (4, 5, 5))
+    rows = [(1, None), (2, ""), (3, "Short."), (4, passage + " " + passage), (5, "Yes. No. " * 3)]
     for i in range(10, 30):
         own = [sentence(rng, rng.randint(2, 15)) for _ in range(6)]
-        own.insert(rng.randint(0, 6), passage if i % 2 else long)
+        own.insert(rng.randint(0, 6), passage if i % 2 else short)
         rows.append((i, ("\n" if i % 3 else " ").join(own)))
-    want = brute_spans(rows)
-    got = {r["doc_id"]: r for r in span_dedup.drop_repeated_spans(frame(spark, rows)).collect()}
-    assert {i: r["text"] for i, r in got.items() if r["text"] is not None} == want and got[1]["text"] is None
-    assert got[4]["text"].strip() == passage and got[3]["text"] == "Short."
-    for i in range(11, 30):
-        body = got[i]["text"]
-        kept = [s for s in passage.split(". ") if s.strip(".") in body] if i % 2 else ([long] if long in body and i > 10 else [])
-        assert not kept
-        own = [s for s in rows[[r[0] for r in rows].index(i)][1].replace("\n", " ").split(". ") if s.strip(". ") not in passage and s.strip(". ") not in long]
-        assert all(s.strip(". ") in body for s in own)
-    assert span_dedup.drop_repeated_spans(frame(spark, rows).limit(0)).count() == 0
+    # A row again, two texts under one id, and texts without one.
+    rows += [rows[-1], (12, passage), (None, short), (None, "Alone here. " + short), (None, short)]
+    df = frame(spark, rows).withColumn("hash", F.lit("clash")).withColumn("r1", F.lit(1)).withColumn("cut", F.lit("x"))
+    got = span_dedup.drop_repeated_spans(df).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, brute_spans(rows)))
+    held = [(r["doc_id"], r["text"]) for r in got]
+    assert ([t for i, t in held if i == 4][0]).strip() == passage and (3, "Short.") in held
+    for i, t in held:
+        if i is not None and 10 < i < 29:
+            assert not [s for s in (passage if i % 2 else short).split(". ") if s.strip(".") in t]
+    assert span_dedup.drop_repeated_spans(df.limit(0)).count() == 0
+
+
+def test_sentences_take_linear_time():
+    for text in ("." * 200_000 + "x", ".)" * 100_000 + "x", "a. " * 70_000, "\n" * 200_000, "x" * 200_000):
+        began = time.perf_counter()
+        span_dedup.sentences(text)
+        assert time.perf_counter() - began < 1
 
 
 def test_sentences_tile():
