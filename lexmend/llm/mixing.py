@@ -4,39 +4,56 @@ A source's target number of words is shared out by weight and never exceeds ``ma
 what the source has; the excess goes to the others by weight. That is water filling: every source
 below its cap gets the same number of words for each unit of weight.
 
-A document's expected number of copies is its source's target over its source's size. The whole
-part is certain. The rest is its inclusion probability p, and documents are ranked by the random
-odds u/(1-u) over the inclusion odds p/(1-p), with u from a hash of the id; the sample takes the
-best ranks while they fit the words that are left to take. So the sample has a fixed size in words,
-with unequal probabilities between sources (and inside one, where ``weight_col`` is given). What
-then is missing of a source's words, less than the next document has, is closed by one more
-document, the one whose size is nearest to the gap, if it makes the gap smaller.
+The whole part of a source's target over its size is certain: every document has that many
+copies. The rest f of it is shared out as inclusion probabilities that differ by document:
+p = f + (x - m) * min(f, 1 - f), where x in [0, 1] is the document's preference and m the mean
+preference of the source's words. So p lies between 0 and 1, and the expected number of words is
+the target. By default x = ``HALF`` / (``HALF`` + bytes of the text): a source's remainder goes to its
+shorter documents rather than to a few long ones. ``prefer_col`` names another x.
+
+Documents are ranked by the random odds u/(1-u) over the inclusion odds p/(1-p), with u from a
+hash of id and text, and the sample takes, in the order of the ranks, each document that fits the
+words that are left. So it has a fixed size in words: at its end no document of the source that
+could still be drawn fits. Rows that repeat id and text have the same u and are told apart by a
+row key, so some of them can be in the sample and others not.
 
 The cut of a source is found without sorting it: words are summed over 1,024 ranges of the rank,
 then over 1,024 parts of the range that holds the cut, and only the part that holds it is ordered.
-A source with a third of all rows thus never meets in one task. What is joined to the documents is
-a table with one row for each source, so no text is shuffled.
-
-Defined cases: a null text has no words. A null source is one source, the last. Rows with the
-same id (null too) rank alike and are taken together. A document without words is taken whole
-times only. Empty tables give empty results.
+A source with a third of all rows thus never meets in one task. Behind the cut only documents
+that are smaller than the gap matter; the best ranked of them (``REACH`` times the words of the gap, about
+``MOST`` rows of a source at a time) are gone through one by one, until nothing fits. What is joined to the documents
+is a table with one row for each source and one of the few documents that closed gaps, so no text
+is shuffled.
+
+Defined cases: a null text has no words. A null source is one source, the last. A null id counts as
+the empty text in u and ranks ahead of others in a tie. Any text is counted whole, however long. A
+document without words is taken whole times only. Empty tables give empty results. Other columns,
+of any name, are neither read nor changed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import WORD, as_text, n_words, staged
+from lexmend.llm.common import WORD, as_text, drop_staged, n_words, row_keyed, staged
 
 STEP = 1024
 DIGITS = 13  # hexadecimal digits of the hash that make up u: 52 bits, exact in a double
+#: Bytes of a text whose preference is one half, and the steps in which preferences are counted (sums stay whole numbers).
+HALF, SCALE = 512, 1024
+#: Probabilities keep this distance from 0 and 1, so that their odds are finite.
+EDGE = 1e-9
+#: How far behind the cut one pass looks for documents that close the gap: words, in gaps, and rows.
+REACH, MOST = 64, 10_000
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """A number in (0, 1) from a hash of the id, the same on every run."""
-    digits = F.substring(F.md5(F.concat(as_text(id_col), F.lit(f"/{seed}")).cast("binary")), 1, DIGITS)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
+def uniform(id_col: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) from a hash of id and text, the same on every run."""
+    body = F.concat(as_text(id_col), F.lit("/"), F.md5(as_text(text).cast("binary")), F.lit(f"/{seed}"))
+    return (F.conv(F.substring(F.md5(body.cast("binary")), 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
@@ -70,23 +87,25 @@ def _found(words: DataFrame, left: DataFrame, range_col: str) -> DataFrame:
 
 
 def _scored(rows: DataFrame, targets: DataFrame, max_repeat: int) -> DataFrame:
-    """``rows`` (id, source, u, w, some) with their source's row of ``targets``, certain copies and rank."""
-    expected = F.least(F.col("target") * F.col("w") / F.col("mass"), F.lit(float(max_repeat)))
+    """``rows`` (id, source, u, x, some, key) with their source's row of ``targets``, certain copies and rank."""
+    words = F.greatest(F.col("source_size"), F.lit(1))  # a source without words has the target 0
+    p = F.col("f") + (F.col("x") - F.col("pull") / words) / float(SCALE) * F.least(F.col("f"), 1 - F.col("f"))
     return (
         rows.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
-        .withColumn("e", F.when(F.col("mass") > 0, expected).otherwise(F.lit(0.0)))
+        .withColumn("e", F.least(F.col("target") / words, F.lit(float(max_repeat))))
         .withColumn("whole", F.floor("e"))
-        .withColumn("p", F.col("e") - F.col("whole"))
-        .withColumn("q", F.when((F.col("p") > 0) & F.col("some"), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+        .withColumn("f", F.col("e") - F.col("whole"))
+        .withColumn("p", F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), p)))
+        .withColumn("q", F.when((F.col("f") > 0) & F.col("some"), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("fine", F.floor(F.col("q") / (1 + F.col("q")) * (STEP * STEP)))
     )
 
 
 def _rank() -> Column:
-    return F.struct("q", F.col("id").isNotNull().alias("known"), "id")
+    return F.struct("q", F.col("id").isNotNull().alias("known"), "id", "key")
 
 
-def _drawn() -> Column:
+def _ahead_of_cut() -> Column:
     """Whether a scored row that is joined to its source's cut ranks up to it."""
     at_cut = F.coalesce(_rank() <= F.col("cut"), F.lit(False))
     return (
@@ -97,73 +116,107 @@ def _drawn() -> Column:
     )
 
 
-def _copies() -> Column:
-    """Copies of a scored row that is joined to its source's cut and closing document."""
-    closing = F.coalesce(_rank() == F.col("closing"), F.lit(False))
-    return F.col("whole") + (_drawn() | closing).cast("long")
-
+def _copied(rows: DataFrame, cuts: DataFrame, closing: DataFrame, max_repeat: int) -> DataFrame:
+    """``rows`` scored, with ``copies``."""
+    more = _scored(rows, cuts, max_repeat).join(closing.withColumnRenamed("key", "closing"), F.col("key") == F.col("closing"), "left")
+    return more.withColumn("copies", (F.col("whole") + (_ahead_of_cut() | F.col("closing").isNotNull()).cast("long")).cast("long"))
 
-def _rows(df: DataFrame, id_col: str, source_col: str, weight_col: str | None, seed: int, *more: Column) -> DataFrame:
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), uniform(F.col(id_col), seed).alias("u"), F.greatest(weight, F.lit(0.0)).alias("w"), *more)
 
+def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str, prefer_col: str | None, key_col: str, seed: int, *more: Column) -> DataFrame:
+    if prefer_col:
+        x = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(prefer_col).cast("double"), F.lit(0.5)))) * SCALE)
+    else:
+        x = F.floor(F.lit(float(SCALE * HALF)) / (HALF + F.octet_length(as_text(F.col(text_col)))))
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"), x.cast("long").alias("x"), F.col(key_col).alias("key"), *more)
 
-def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, max_repeat: int, cycle: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The scored rows without texts, and a row for each source with its target and cut."""
-    size = n_words(F.col(text_col))
-    base = staged(_rows(df, id_col, source_col, weight_col, seed, size.alias("size")).withColumn("some", F.col("size") > 0), "mix-base")
-    sizes = staged(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("mass")), "mix-sources")
-    targets = source_targets(sizes.select("source", "source_size"), max_repeat, cycle).withColumnRenamed("source", "t_source")
-    targets = staged(targets.join(sizes.select(F.col("source").alias("s_source"), "mass"), F.col("t_source").eqNullSafe(F.col("s_source"))).drop("s_source"), "mix-targets")
-    scored = _scored(base, targets, max_repeat)
-    left = scored.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("sure")).select(F.col("source").alias("l_source"), (F.col("target") - F.col("sure")).alias("left"), F.lit(0).cast("long").alias("ahead"))
-    left = staged(left, "mix-left")
 
+def _first_cut(scored: DataFrame, left: DataFrame) -> DataFrame:
+    """Where the sample of a source first meets a document that doesn't fit: x_source, cut_range, cut (the last rank that fits), done (words up to it)."""
     drawn = scored.filter("q is not null").withColumn("coarse", F.floor(F.col("fine") / STEP))
     coarse = staged(_found(drawn.groupBy("source", "coarse").agg(F.sum("size").alias("words")), left, "coarse"), "mix-coarse")
     inside = drawn.join(coarse.select(F.col("source").alias("c_source"), F.col("coarse").alias("c_coarse")), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("coarse") == F.col("c_coarse")))
     ahead = coarse.select(F.col("source").alias("l_source"), "left", F.col("before").alias("ahead"))
     fine = staged(_found(inside.groupBy("source", "fine").agg(F.sum("size").alias("words")), ahead, "fine"), "mix-fine")
     fine = fine.select(F.col("source").alias("k_source"), F.col("fine").alias("cut_range"), F.col("left").alias("k_left"), "before")
-
-    # Inside the part that holds the cut, ids that rank alike count as one.
-    part = drawn.join(fine, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("fine") == F.col("cut_range"))).groupBy("source", "q", "id").agg(F.sum("size").alias("size"), F.first("k_left").alias("left"), F.first("before").alias("before"))
-    order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())
-    # A row is in if it fits. Where not even the first one does, there is no cut in the part.
+    part = drawn.join(fine, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("fine") == F.col("cut_range")))
+    order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first(), "key")
+    # Where not even the first row of the part fits, there is no cut in it.
+    fits = F.col("upto") <= F.col("k_left")
     cuts = (
         part.withColumn("upto", F.col("before") + F.sum("size").over(order))
-        .filter(F.col("upto") <= F.col("left"))
-        .groupBy("source")
-        .agg(F.max(_rank()).alias("cut"), F.max("upto").alias("reached"))
-        .withColumnRenamed("source", "x_source")
-    )
-    by_source = (
-        targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source")))
-        .join(fine.drop("k_left"), F.col("t_source").eqNullSafe(F.col("k_source")), "left")
-        .join(cuts, F.col("t_source").eqNullSafe(F.col("x_source")), "left")
-        .select("t_source", "source_size", "target", "mass", "left", "cut_range", "cut", (F.col("left") - F.coalesce("reached", "before")).alias("gap"))
+        .groupBy(F.col("source").alias("x_source"))
+        .agg(F.first("cut_range").alias("cut_range"), F.max(F.when(fits, _rank())).alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before")).alias("done"))
     )
-    by_source = staged(by_source, "mix-cuts")
-    nearest = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), _rank().alias("rank")))["rank"]
-    closing = _scored(base, by_source, max_repeat).filter(~_drawn() & F.col("q").isNotNull() & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))).groupBy("source").agg(nearest.alias("closing")).withColumnRenamed("source", "y_source")
-    return base, staged(by_source.join(closing, F.col("t_source").eqNullSafe(F.col("y_source")), "left").drop("y_source"), "mix-closed")
+    cuts = staged(cuts, "mix-first")
+    for held in (coarse, fine):
+        drop_staged(held)
+    return cuts
+
+
+def _closing(scored: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The keys of the documents behind the cuts that fit what is left, gone through in the order of their ranks."""
+    fits = F.col("size") + F.col("done") <= F.col("left")
+    columns = ("source", "q", "id", "key", "size", "fine", "left", "done")
+    open_ = staged(scored.filter(F.col("q").isNotNull() & F.col("cut_range").isNotNull() & ~_ahead_of_cut() & fits).select(*columns), "mix-open")
+    found = [open_.sparkSession.createDataFrame([], "key long")]
+    while not open_.isEmpty():
+        run = Window.partitionBy("source").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = open_.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first(F.col("left") - F.col("done")).alias("gap"))
+        ranges = ranges.withColumn("words", F.coalesce(F.sum("words").over(run), F.lit(0))).withColumn("n", F.coalesce(F.sum("n").over(run), F.lit(0)))
+        ranges = ranges.filter((F.col("words") <= REACH * F.col("gap")) & (F.col("n") <= MOST)).select(F.col("source").alias("r_source"), F.col("fine").alias("r_fine"))
+        near = open_.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("fine") == F.col("r_fine")))
+        # A few ranges of each source, at most about ``MOST`` rows of it.
+        queue = near.groupBy("source").agg(F.first("left").alias("left"), F.first("done").alias("done"), F.max("fine").alias("last"), F.array_sort(F.collect_list(F.struct("q", F.col("id").isNotNull().alias("known"), "id", "key", "size"))).alias("queue"))
+
+        def step(acc: Column, x: Column) -> Column:
+            fits = acc["done"] + x["size"] <= acc["left"]
+            return F.when(fits, F.struct(acc["left"].alias("left"), (acc["done"] + x["size"]).alias("done"), F.concat(acc["keys"], F.array(x["key"])).alias("keys"))).otherwise(acc)
+
+        start = F.struct("left", "done", F.array().cast("array<bigint>").alias("keys"))
+        passed = staged(queue.select("source", "last", F.aggregate("queue", start, step).alias("acc")), "mix-passed")
+        found.append(passed.select(F.explode("acc.keys").alias("key")))
+        state = passed.select(F.col("source").alias("p_source"), "last", F.col("acc.done").alias("now"))
+        rest = open_.join(state, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("fine") > F.col("last"))).withColumn("done", F.col("now"))
+        was, open_ = open_, staged(rest.filter(fits).select(*columns), "mix-open")
+        drop_staged(was)
+    return staged(reduce(DataFrame.union, found), "mix-closing")
+
+
+def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, prefer_col: str | None, key_col: str, max_repeat: int, cycle: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows without texts, a row for each source with its target and cut, and the keys of the documents that close gaps."""
+    size = n_words(F.col(text_col))
+    base = staged(_rows(df, id_col, text_col, source_col, prefer_col, key_col, seed, size.alias("size")).withColumn("some", F.col("size") > 0), "mix-base")
+    sizes = staged(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("pull")), "mix-sources")
+    targets = source_targets(sizes.select("source", "source_size"), max_repeat, cycle).withColumnRenamed("source", "t_source")
+    targets = staged(targets.join(sizes.select(F.col("source").alias("s_source"), "pull"), F.col("t_source").eqNullSafe(F.col("s_source"))).drop("s_source"), "mix-targets")
+    scored = _scored(base, targets, max_repeat)
+    # The certain copies of a source follow from its size.
+    sure = F.floor(F.least(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(float(max_repeat)))) * F.col("source_size")
+    left = targets.select(F.col("t_source").alias("l_source"), (F.col("target") - sure).alias("left"), F.lit(0).cast("long").alias("ahead"))
+    cuts = targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source"))).join(_first_cut(scored, left), F.col("t_source").eqNullSafe(F.col("x_source")), "left")
+    cuts = staged(cuts.select("t_source", "source_size", "target", "pull", "left", "cut_range", "cut", "done"), "mix-cuts")
+    drop_staged(sizes)
+    return base, cuts, _closing(_scored(base, cuts, max_repeat), cuts)
 
 
-def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
+def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefer_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
     """One row for each row of ``df``: id, source, size, source_size, target, copies, taken."""
-    base, cuts = _plan(df, id_col, text_col, source_col, weight_col, max_repeat, cycle, seed)
-    made = _scored(base, cuts, max_repeat).withColumn("copies", _copies().cast("long"))
+    keyed, key = row_keyed(df)
+    base, cuts, closing = _plan(keyed, id_col, text_col, source_col, prefer_col, key, max_repeat, cycle, seed)
+    made = _copied(base, cuts, closing, max_repeat)
     return made.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefer_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
     """The documents of the mix with all their columns, each as often as the plan says."""
+    keyed, _ = row_keyed(df)
     names = [f"_c{i}" for i in range(len(df.columns))]
     at = dict(zip(df.columns, names, strict=True))
-    flat = df.toDF(*names)
-    own = (at[id_col], at[text_col], at[source_col], at.get(weight_col))
-    _, cuts = _plan(flat, *own, max_repeat, cycle, seed)
+    flat = keyed.toDF(*names, "_key")
+    own = (at[id_col], at[text_col], at[source_col], at.get(prefer_col), "_key")
+    base, cuts, closing = _plan(flat, *own, max_repeat, cycle, seed)
+    drop_staged(base)
     some = as_text(F.col(at[text_col])).rlike(WORD).alias("some")
-    rows = _rows(flat, at[id_col], at[source_col], at.get(weight_col), seed, some, *[F.col(n) for n in names])
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
-    return _scored(rows, cuts, max_repeat).withColumn("n", _copies()).filter("n > 0").withColumn("copy", copies).select(*[F.col(n).alias(c) for c, n in at.items()])
+    rows = _rows(flat, *own, seed, some, *[F.col(n) for n in names])
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return _copied(rows, cuts, closing, max_repeat).filter("copies > 0").withColumn("copy", each).select(*[F.col(n).alias(c) for c, n in at.items()])

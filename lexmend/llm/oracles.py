@@ -37,29 +37,32 @@ FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 """
 
 SOURCE_MIXING = f"""
-WITH b AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
-                  (CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/7')[1:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-           FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
+WITH RECURSIVE b AS (
+  SELECT row_number() OVER () AS n, doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST(524288 // (512 + strlen(coalesce(text, ''))) AS BIGINT) AS x,
+         (CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, '')) || '/7')[1:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * x)::BIGINT AS pull FROM b GROUP BY source),
 c AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
                  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, level LIMIT 1)) AS target FROM l),
-e AS (SELECT doc_id, b.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN least(target * 1.0::DOUBLE / source_size, 3.0::DOUBLE) ELSE 0.0 END AS e
-      FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, floor(e) AS whole, e - floor(e) AS p FROM e),
-q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(floor(e) * size) OVER (PARTITION BY source) AS left_over FROM p),
-g AS (SELECT source, q, doc_id, sum(size) AS size, any_value(left_over) AS left_over FROM q WHERE q IS NOT NULL GROUP BY source, q, doc_id),
-r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM g),
-k AS (SELECT source, q, doc_id FROM r WHERE upto <= left_over),
-gap AS (SELECT source, any_value(left_over) - coalesce(max(upto) FILTER (upto <= left_over), 0) AS gap FROM r GROUP BY source),
-o AS (SELECT q.source, q.q, q.doc_id, row_number() OVER (PARTITION BY q.source ORDER BY abs(size - gap), q.q, q.doc_id NULLS FIRST) AS n
-      FROM q JOIN gap ON q.source IS NOT DISTINCT FROM gap.source
-      LEFT JOIN k ON q.source IS NOT DISTINCT FROM k.source AND q.q = k.q AND q.doc_id IS NOT DISTINCT FROM k.doc_id
-      WHERE q.q IS NOT NULL AND k.q IS NULL AND abs(size - gap) < gap),
-x AS (SELECT source, q, doc_id FROM k UNION SELECT source, q, doc_id FROM o WHERE n = 1)
-SELECT q.doc_id, size, source_size, target, CAST((whole + CASE WHEN x.q IS NULL THEN 0 ELSE 1 END) * size AS BIGINT) AS taken
-FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source AND q.q = x.q AND q.doc_id IS NOT DISTINCT FROM x.doc_id
+t AS (SELECT source, source_size, pull, least(cap, weight * (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, level LIMIT 1)) AS target FROM l),
+r AS (SELECT *, least(target / greatest(source_size, 1)::DOUBLE, 3.0::DOUBLE) AS ratio FROM t),
+f AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS f, target - floor(ratio) * source_size AS left_over FROM r),
+p AS (SELECT n, doc_id, b.source, size, source_size, target, whole, left_over, u, f,
+             greatest(1e-9::DOUBLE, least(1 - 1e-9::DOUBLE, f + (x - pull::DOUBLE / greatest(source_size, 1)::DOUBLE) / 1024::DOUBLE * least(f, 1 - f))) AS p
+      FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source),
+q AS (SELECT n, source, size, left_over, row_number() OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id NULLS FIRST, n) AS i FROM p WHERE f > 0 AND size > 0),
+-- One step takes documents in the order of their ranks, without those too long for what is left, up to the first that doesn't fit any more.
+g AS (
+  SELECT DISTINCT source, left_over, 0::BIGINT AS done, 0::BIGINT AS i, 0 AS k FROM q
+  UNION ALL
+  SELECT source, left_over, max(upto)::BIGINT, max(i)::BIGINT, k + 1 FROM (
+    SELECT g.source, g.left_over, g.k, q.i, g.done + sum(q.size) OVER (PARTITION BY g.source ORDER BY q.i) AS upto
+    FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source AND q.i > g.i AND g.done + q.size <= g.left_over)
+  WHERE upto <= left_over GROUP BY source, left_over, k),
+d AS (SELECT q.n FROM q JOIN g a ON q.source IS NOT DISTINCT FROM a.source AND q.i > a.i AND a.done + q.size <= a.left_over
+      JOIN g z ON z.source IS NOT DISTINCT FROM a.source AND z.k = a.k + 1 AND q.i <= z.i)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN d.n IS NULL THEN 0 ELSE 1 END) * size AS BIGINT) AS taken FROM p LEFT JOIN d ON p.n = d.n
 """
 
 ORACLES = {

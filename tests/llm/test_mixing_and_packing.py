@@ -19,12 +19,13 @@ SCHEMA = "doc_id long, text string, source string"
 ROWS = [(i, " ".join(["w"] * (i * 7 % 60)), ("a", "b", "c", "d", None)[i % 5] if i % 3 else "a") for i in range(400)] + [(None, "x y", "b"), (7, None, "c"), (8, "", "z"), (9, "one", "z"), (9, "one", "z"), (11, "only here", "é")]
 
 
-def plan_by_hand(rows, weight=None):
-    """Targets by repeated resharing, and the sample by a full sort."""
+def plan_by_hand(rows, prefer=None):
+    """Targets by repeated resharing, and the sample by going through all ranks: (id, source, size, copies) of every row."""
     size = lambda t: len((t or "").split())
+    preference = prefer or (lambda r: 512 * 1024 // (512 + len((r[1] or "").encode())))
     sizes = Counter()
-    for _, t, s in rows:
-        sizes[s] += size(t)
+    for r in rows:
+        sizes[r[2]] += size(r[1])
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weights = {s: i % 3 + 1 for i, s in enumerate(order)}
     target, fixed = {}, {}
@@ -36,50 +37,73 @@ def plan_by_hand(rows, weight=None):
         if not over:
             break
         fixed |= {s: 3.0 * sizes[s] for s in over}
-    taken = Counter()
+    taken = []
     for s in order:
+        own = [r for r in rows if r[2] == s]
         ratio = min(target[s] / sizes[s], 3.0) if sizes[s] else 0.0
-        whole, p = math.floor(ratio), ratio - math.floor(ratio)
-        ranked = defaultdict(int)
-        for i, t, own in rows:
-            if own == s:
-                taken[i, s, size(t)] = whole
-                if size(t) and p > 0:
-                    u = (int(md5(f"{'' if i is None else i}/7".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
-                    ranked[u / (1 - u) / (p / (1 - p)), i is not None, i or 0] += size(t)
-        left = target[s] - sum(whole * size(t) for i, t, own in rows if own == s)
-        upto, drawn = 0, set()
-        for (_, known, i), n in sorted(ranked.items()):
-            if upto + n > left:
-                break
-            upto += n
-            drawn.add(i if known else None)
-        gap = left - upto
-        rest = [(abs(size(t) - gap), rank[0], rank[1], rank[2], i) for i, t, own in rows if own == s and size(t) and i not in drawn for rank in ranked if rank[1:] == (i is not None, i or 0)]
-        if rest and min(rest)[0] < gap:
-            drawn.add(min(rest)[4])
-        for key in [k for k in taken if k[0] in drawn and k[1] == s and k[2]]:
-            taken[key] += 1
-    return target, taken, sizes
-
-
-def test_mix_plan(spark):
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    target, taken, sizes = plan_by_hand(ROWS)
-    got = mix_plan(df).collect()
-    assert len(got) == len(ROWS)
-    for r in got:
-        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
-        assert r["copies"] == taken[r["doc_id"], r["source"], r["size"]] <= 3 and r["taken"] == r["copies"] * r["size"]
+        whole, f = math.floor(ratio), ratio - math.floor(ratio)
+        left = target[s] - whole * sizes[s]
+        mean = sum(size(r[1]) * preference(r) for r in own) / max(sizes[s], 1)
+        ranked = []
+        for r in own:
+            if size(r[1]) and f > 0:
+                p = max(1e-9, min(1 - 1e-9, f + (preference(r) - mean) / 1024 * min(f, 1 - f)))
+                text = md5((r[1] or "").encode()).hexdigest()
+                u = (int(md5(f"{'' if r[0] is None else r[0]}/{text}/7".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+                ranked.append((u / (1 - u) / (p / (1 - p)), r[0] is not None, r[0] or 0, size(r[1])))
+            else:
+                taken.append((r[0], s, size(r[1]), whole))
+        for _, known, i, n in sorted(ranked):
+            fits = n <= left
+            left -= n * fits
+            taken.append((i if known else None, s, n, whole + fits))
+        if ranked:
+            drawn = Counter()
+            for i, own_source, n, copies in taken:
+                if own_source == s and n and copies == whole:
+                    drawn[n] += 1
+            assert not drawn or min(drawn) > left
+    return target, Counter(taken), sizes
+
+
+def check_plan(df, rows, **more):
+    target, taken, sizes = plan_by_hand(rows, **more)
+    got = mix_plan(df, prefer_col="x" if more else None).collect()
     words = Counter()
     for r in got:
         words[r["source"]] += r["taken"]
-    assert all(abs(words[s] - target[s]) <= 30 for s in target)
-    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        assert r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"]
+    assert Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in got) == taken
+    return target, words
+
+
+def test_mix_plan(spark):
+    target, words = check_plan(spark.createDataFrame(ROWS, SCHEMA), ROWS)
+    # Documents of one word fit every gap of a word.
+    assert all(target[s] - 60 < words[s] <= target[s] for s in target)
+    assert sum(target.values()) == pytest.approx(sum(plan_by_hand(ROWS)[2].values()))
+
+
+def test_mix_without_ids_and_with_repeated_rows(spark):
+    """Rows are drawn one by one: equal rows and null ids don't go together."""
+    rows = [(None if i % 2 else i % 40, "w " * 20, "ab"[i // 2 % 2]) for i in range(1200)] + [(None, "w " * 7, "c") for _ in range(400)]
+    target, words = check_plan(spark.createDataFrame(rows, SCHEMA), rows)
+    assert all(target[s] - 20 < words[s] <= target[s] for s in target)
+
+
+def test_mix_closes_the_gap_of_a_huge_document(spark, monkeypatch):
+    from lexmend.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST", 50)
+    monkeypatch.setattr(mixing, "REACH", 1)
+    rows = [(i, "w " * (3 + i % 9), "a" if i % 3 else "b") for i in range(900)] + [(9000 + i, "w " * 1500, "ab"[i % 2]) for i in range(2)]
+    target, words = check_plan(spark.createDataFrame(rows, SCHEMA), rows)
+    assert all(words[s] <= target[s] for s in target)
 
 
 def test_mix_repeats_rows(spark):
-    df = spark.createDataFrame(ROWS, SCHEMA).withColumn("u", F.lit("clash")).withColumn("target", F.lit(1))
+    df = spark.createDataFrame(ROWS, SCHEMA).withColumn("u", F.lit("clash")).withColumn("target", F.lit(1)).withColumn("_row_key", F.lit("clash"))
     plan = Counter()
     for r in mix_plan(df).collect():
         plan[r["doc_id"], r["source"], r["size"]] += r["copies"]
@@ -88,15 +112,30 @@ def test_mix_repeats_rows(spark):
     assert mix(df.limit(0)).count() == 0 and mix_plan(df.limit(0)).count() == 0
 
 
-def test_mix_weights(spark):
-    """Documents with twice the weight are taken about twice as often."""
-    rows = [(i, "a b c d", "s" if i % 2 else "big", float(1 + i % 4 // 2)) for i in range(4000)] + [(9999, "w " * 40000, "huge", 1.0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+def test_mix_of_files_and_of_frames_agree(spark, tmp_path):
+    """A scan of files has row numbers; other frames are written first."""
+    spark.createDataFrame(ROWS, SCHEMA).repartition(5).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    names = ["doc_id", "source", "size", "copies"]
+    assert Counter(mix_plan(stored).select(*names).collect()) == Counter(mix_plan(stored.repartition(3)).select(*names).collect())
+    assert Counter(mix(stored).select("doc_id", "text").collect()) == Counter(mix(stored.repartition(3)).select("doc_id", "text").collect())
+
+
+def test_mix_preferences(spark):
+    """Inclusion odds differ inside a source: shorter documents are drawn more often, or those with a higher preference."""
+    rows = [(i, "a b c d" if i % 2 else "word " * 400, "s" if i % 4 < 2 else "big") for i in range(3000)] + [(9999, "w " * 40000, "huge")]
     copies = defaultdict(list)
-    for r in mix_plan(df, weight_col="w").collect():
-        if r["source"] == "big":
-            copies[1 + r["doc_id"] % 4 // 2].append(r["copies"])
-    assert np.mean(copies[2]) / np.mean(copies[1]) > 1.3
+    for r in mix_plan(spark.createDataFrame(rows, SCHEMA)).collect():
+        copies[r["source"], r["size"]].append(r["copies"])
+    assert np.mean(copies["big", 4]) > 1.2 * np.mean(copies["big", 400])
+    rows = [(i, "a b c d", "s" if i % 2 else "big", (0.0, 1.0, None, 7.0)[i % 4]) for i in range(800)]
+    check_plan(spark.createDataFrame(rows, SCHEMA + ", x double"), rows, prefer=lambda r: int(1024 * min(max(0.5 if r[3] is None else r[3], 0), 1)))
+
+
+def test_mix_of_a_long_text(spark):
+    rows = [(1, "word " * 6_000_000, "a"), (2, "b " * 1000, "b"), (3, None, None)]
+    got = {r["doc_id"]: r for r in mix_plan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1]["size"] == 6_000_000 and got[2]["taken"] == 3000 and got[3]["taken"] == 0
 
 
 def test_boundaries_are_optimal():
