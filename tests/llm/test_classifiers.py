@@ -126,17 +126,21 @@ def test_swaps():
     assert toxicity.swapped_sentences(None) == []
 
 
+def background(texts):
+    return [sorted(licenses.grams(licenses.tokens(p)) & set(licenses.vocabulary())) for t in texts for p in licenses.paragraphs(t)]
+
+
 @pytest.fixture(scope="module")
 def license_model():
     rng = random.Random(1)
-    return licenses.fit([speech(rng, "en", rng.randint(3, 20)) for _ in range(300)])
+    return licenses.fit(background(speech(rng, "en", rng.randint(3, 20)) for _ in range(300)))
 
 
 def license_by_hand(model, text):
-    best, some = ("none", 0.0, False), False
-    sure = False
-    for line in (text or "").split("\n"):
-        own = licenses.tokens(line)
+    """Paragraph after paragraph: licence, score, and (family, confirmed) of every prediction."""
+    best, some, told = ("none", 0.0), False, []
+    for paragraph in licenses.paragraphs(text or ""):
+        own = licenses.tokens(paragraph)
         if not set(own) & set(model.words):
             continue
         chances = model.chances(own)
@@ -145,36 +149,90 @@ def license_by_hand(model, text):
             continue
         some = True
         if chance >= 0.7:
-            shingles = licenses.shingles(own)
-            sure |= len(shingles & licenses.template_shingles(family)) >= 0.8 * len(shingles)
-            if chance > best[1]:
-                best = (family, chance, False)
-    return (best[0], best[1], sure) if best[1] else ("unknown" if some else "none", 0.0, False)
+            sure = licenses.confirms(own, family)
+            told.append((family, sure))
+            if sure and chance > best[1]:
+                best = (family, chance)
+    return (*best, told) if best[1] else ("unknown" if some else "none", 0.0, told)
 
 
 def test_licenses(spark, license_model):
     rng = random.Random(2)
     rows = list(ODD)
     for i in range(120):
-        lines = [speech(rng, "en", rng.randint(1, 15)) for _ in range(rng.randint(0, 6))]
+        lines = [speech(rng, "en", rng.randint(1, 15)).rstrip(rng.choice(". ")) for _ in range(rng.randint(0, 6))]
         family = rng.choice(list(licenses.TEMPLATES))
         lines.insert(rng.randint(0, len(lines)), rng.choice([*licenses.texts_of(family), *licenses.NEAR_MISSES]))
-        rows.append((100 + i, "\n".join(lines)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
+        rows.append((100 + i, rng.choice(["\n", "\n\n", " \n# * \n"]).join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash")).withColumn("_text", F.lit("clash"))
     got = licenses.scan_licenses(df, license_model).collect()
-    assert len(got) == len(rows)
-    want = Counter((i, a, round(b, 4), c) for i, t in rows for a, b, c in [license_by_hand(license_model, t)])
-    assert Counter((r["doc_id"], r["license"], round(r["score"], 4), r["confirmed"]) for r in got) == want
+    want = Counter((i, a, round(b, 4), tuple(c)) for i, t in rows for a, b, c in [license_by_hand(license_model, t)])
+    assert Counter((r["doc_id"], r["license"], round(r["score"], 4), tuple((x["family"], x["confirmed"]) for x in r["paragraphs"])) for r in got) == want
+    assert licenses.scan_licenses(df.limit(0), license_model).count() == 0
 
 
 def test_license_accuracy(license_model):
-    told = {f: [license_by_hand(license_model, f"noise before\n{t}\nand after") for t in licenses.texts_of(f)] for f in licenses.TEMPLATES}
+    told = {f: [license_by_hand(license_model, f"noise before.\n{t}\n\nand after") for t in licenses.texts_of(f)] for f in licenses.TEMPLATES}
     right = [a == f for f, all_ in told.items() for a, _, _ in all_]
     assert np.mean(right) > 0.93
     assert np.mean([license_by_hand(license_model, t)[0] in ("none", "unknown") for t in licenses.NEAR_MISSES]) > 0.93
     assert license_by_hand(license_model, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software")[0] == "mit"
 
 
+HEADERS = {
+    "mit": """/* Copyright (c) 2020 Someone
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ */""",
+    "apache": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "gpl": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+}
+
+
+def test_wrapped_headers(spark, license_model):
+    rows = [(i, f"import os\n\n{text}\n\ndef main():\n    pass\n") for i, text in enumerate(HEADERS.values())]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_model).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == list(HEADERS)
+    assert all(x["confirmed"] for r in got for x in r["paragraphs"])
+
+
+def test_confirmation_decides(spark, license_model):
+    """A prediction that no template confirms doesn't stand against a confirmed one, however sure it is."""
+    sure = "MIT license granted: this MIT project has MIT license terms, the MIT license of the project."
+    text = f"{sure}\n\n{HEADERS['bsd']}"
+    chances = license_model.chances(licenses.tokens(sure))
+    assert license_model.classes[int(chances.argmax())] == "mit" and chances.max() > 0.7 and not licenses.confirms(licenses.tokens(sure), "mit")
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, sure)], "doc_id long, text string"), license_model).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == ["bsd", "unknown"] and got[1]["score"] == 0.0
+
+
+def test_license_behind_a_long_text(spark, license_model):
+    text = "wort " * 400_000 + "\n" + "x\n" * 100_000 + "\nReleased under the MIT License.\n"
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), license_model).collect()
+    assert got[0]["license"] == "mit"
+
+
 def features_by_hand(text):
     text = text or ""
     found = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -207,15 +265,18 @@ def test_dup_windows_that_overlap(spark):
     assert got["n_repeat_words"] == features_by_hand(text)[4]
 
 
-def test_frequent_notice_keeps_its_features():
-    """A notice that a third of the documents have, alone on its line or in a longer one, is still found."""
+def test_frequent_notice_is_no_background(spark):
+    """A notice that a third of the documents have, alone in its paragraph or in a longer one, is still found; the background is whole and bounded."""
     rng = random.Random(6)
     notice = "Licensed under the Apache License, Version 2.0."
     for line in (notice, f"Copyright by the authors of this file. {notice} See elsewhere for more of it."):
-        model = licenses.fit([x for i in range(200) for x in (*[line][: i % 3 == 0], speech(rng, "en", 12), speech(rng, "en", 8))])
-        assert license_by_hand(model, f"some words\n{notice}\nmore words")[::2] == ("apache", True)
-    usual = licenses.usual_words([["reserved", "of", "rights", "all"]] * 50, 0.005)
-    assert "of" in usual and not {"all", "rights", "reserved"} <= usual
+        rows = [(i, "\n".join([*[line][: i % 3 == 0], *[speech(rng, "en", 12) for _ in range(12)], "software of the project."])) for i in range(200)]
+        docs = spark.createDataFrame([*rows, *ODD], "doc_id long, text string")
+        found = licenses.sample_background(docs)
+        assert found == licenses.sample_background(docs.repartition(3)) and ["project", "software"] in found and not any("apache" in own for own in found)
+        assert len(licenses.sample_background(docs, background_paragraphs=7)) == 7
+        assert license_by_hand(licenses.fit(found), f"some words\n{notice}\nmore words")[0] == "apache"
+    assert licenses.sample_background(docs.limit(0)) == [] and licenses.fit([]).classes[-1] == licenses.UNKNOWN
 
 
 def test_unlearned_languages_and_junk_go(spark):
