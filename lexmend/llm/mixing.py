@@ -153,18 +153,24 @@ def _first_cut(scored: DataFrame, left: DataFrame) -> DataFrame:
     return cuts
 
 
+def _nearest(rows: DataFrame, range_col: str) -> DataFrame:
+    """The rows in the first ranges of each source: those with ``REACH`` gaps of words and ``MOST`` rows at most ahead of them."""
+    run = Window.partitionBy("source").orderBy(range_col).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("source", range_col).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first(F.col("left") - F.col("done")).alias("gap"))
+    ranges = ranges.withColumn("words", F.coalesce(F.sum("words").over(run), F.lit(0))).withColumn("n", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    ranges = ranges.filter((F.col("words") <= REACH * F.col("gap")) & (F.col("n") <= MOST)).select(F.col("source").alias("r_source"), F.col(range_col).alias("r_range"))
+    return rows.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col(range_col) == F.col("r_range"))).drop("r_source", "r_range")
+
+
 def _closing(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     """The keys of the documents behind the cuts that fit what is left, gone through in the order of their ranks."""
     fits = F.col("size") + F.col("done") <= F.col("left")
-    columns = ("source", "q", "id", "key", "size", "fine", "left", "done")
-    open_ = staged(scored.filter(F.col("q").isNotNull() & F.col("cut_range").isNotNull() & ~_ahead_of_cut() & fits).select(*columns), "mix-open")
-    found = [open_.sparkSession.createDataFrame([], "key long")]
+    columns = ("source", "q", "id", "key", "size", "fine", "coarse", "left", "done")
+    behind = scored.filter(F.col("q").isNotNull() & F.col("cut_range").isNotNull() & ~_ahead_of_cut() & fits).withColumn("coarse", F.floor(F.col("fine") / STEP))
+    open_ = staged(behind.select(*columns), "mix-open")
+    found = [open_.sparkSession.range(0).select(F.col("id").alias("key"))]
     while not open_.isEmpty():
-        run = Window.partitionBy("source").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = open_.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first(F.col("left") - F.col("done")).alias("gap"))
-        ranges = ranges.withColumn("words", F.coalesce(F.sum("words").over(run), F.lit(0))).withColumn("n", F.coalesce(F.sum("n").over(run), F.lit(0)))
-        ranges = ranges.filter((F.col("words") <= REACH * F.col("gap")) & (F.col("n") <= MOST)).select(F.col("source").alias("r_source"), F.col("fine").alias("r_fine"))
-        near = open_.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("fine") == F.col("r_fine")))
+        near = _nearest(_nearest(open_, "coarse"), "fine")
         # A few ranges of each source, at most about ``MOST`` rows of it.
         queue = near.groupBy("source").agg(F.first("left").alias("left"), F.first("done").alias("done"), F.max("fine").alias("last"), F.array_sort(F.collect_list(F.struct("q", F.col("id").isNotNull().alias("known"), "id", "key", "size"))).alias("queue"))
 
