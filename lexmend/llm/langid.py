@@ -3,13 +3,19 @@
 A one-versus-rest linear SVM for each family picks the family; inside a family one-versus-one
 linear SVMs vote between its languages. Features are hashed byte n-grams (1 to 4) of the lower-
 cased letters of the whole text, in relative frequencies, so a document's score is the mean
-weight over its n-grams and long texts need no cut.
+weight over its n-grams and long texts need no cut: they are summed up in blocks.
 
-Training takes a bounded, documented sample: at most ``docs_per_lang`` labelled documents of each
-language, chosen by a hash of the id, and of each at most ``pieces`` windows of ``window`` bytes.
+Training takes a bounded, documented sample of labelled rows: the ``docs_per_lang`` documents of
+each language with the smallest hashes of id and text, each with its whole text, counted where it
+lies; what reaches the driver is a vector of ``BINS`` frequencies for each. A language is learned from
+``least_docs`` documents on; a table with more than ``most_langs`` such languages raises, because
+the classifiers of a family grow with the square of its languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Null languages
-train nothing. Repeated rows are scored alike. Without any labelled row every text is ``und``.
+train nothing, and languages with too few documents are not learned. Repeated rows train once and
+are scored alike. Of families or languages that score alike the first by name of the family and the last by
+name of the language is told. Without any labelled row every text is ``und``. Empty tables give
+empty results. Columns other than id, text and language, of any name, are not read; :func:`keep_known` passes them on.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmend.llm.arrow import slices
 from lexmend.llm.ngrams import byte_grams, groups
 
 #: ISO 639-1 codes by family. A code that isn't listed is a family of its own.
@@ -47,7 +54,12 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def prepared(text: str | None) -> bytes:
     """Lower-cased runs of letters between blanks; empty where there is no letter."""
-    body = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    low, parts, blank = (text or "").lower(), [], False
+    for at in range(0, len(low), BLOCK):  # what a long text is taken apart to is held for a block at a time
+        part = NOT_LETTERS.sub(" ", low[at : at + BLOCK])
+        parts.append(part[1:] if blank and part.startswith(" ") else part)
+        blank = part.endswith(" ")
+    body = "".join(parts).strip()
     return f" {body} ".encode("utf-8", "surrogatepass") if body else b""
 
 
@@ -96,7 +108,7 @@ class LanguageModel:
         return self.means(texts, self.weights[:, :-1]) * SCALE + self.weights[:, -1]
 
     def fits(self, texts: list[bytes]) -> np.ndarray:
-        """How far the likeliest language's n-grams are from typical, in deviations of held-out windows; short texts vary more."""
+        """How far the likeliest language's n-grams are from typical, in deviations of held-out texts; short texts vary more."""
         if not len(self.profiles):
             return np.zeros(len(texts))
         off = (self.means(texts, self.profiles) / len(SIZES) - self.typical[:, 0]) / self.typical[:, 1]
@@ -107,7 +119,10 @@ class LanguageModel:
         """For each row of ``weights`` the mean weight over a text's n-grams, summed over their sizes."""
         out = np.zeros((len(texts), len(weights)))
         table = np.ascontiguousarray(weights.T)
-        for a, b in groups(texts):
+        for a, b in groups(texts, BLOCK):
+            if b - a == 1 and len(texts[a]) > BLOCK:
+                out[a] = long_mean(texts[a], table)
+                continue
             data = np.frombuffer(b"".join(texts[a:b]), np.uint8).astype(np.uint64)
             lengths = np.array([len(t) for t in texts[a:b]])
             ends = np.cumsum(lengths)
@@ -145,65 +160,87 @@ class LanguageModel:
 
 #: Mean weights are small numbers; frequencies are scaled so that the margin's step is of order one.
 SCALE = 40.0
-#: Frequency of an unseen n-gram in a profile, the letters under which chance doubles a text's variance, and the fewest held-out windows that tell a deviation.
+#: Bytes of a text that are looked at together.
+BLOCK = 1 << 18
+#: Frequency of an unseen n-gram in a profile, the letters under which chance doubles a text's variance, and the fewest held-out texts that tell a deviation.
 UNSEEN, SHORT, LEAST_HELD = 1e-5, 30, 10
 
 
-def vectors(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), BINS), np.float32)
-    for i, t in enumerate(texts):
-        for grams in byte_grams(np.frombuffer(t, np.uint8).astype(np.uint64), SIZES, BINS) if len(t) >= max(SIZES) else []:
-            out[i] += np.bincount(grams, minlength=BINS)[:BINS].astype(np.float32) * (SCALE / max(len(grams), 1))
-    return out
+def blocks(text: bytes):
+    """For each block of a text and size n the bins of the n-grams that start in it."""
+    for at in range(0, len(text), BLOCK):
+        data = np.frombuffer(text[at : at + BLOCK + max(SIZES) - 1], np.uint8).astype(np.uint64)
+        for n in SIZES:
+            if len(data) >= n:
+                yield n, byte_grams(data, (n,), BINS)[0][:BLOCK]
+
 
+def long_mean(text: bytes, table: np.ndarray) -> np.ndarray:
+    """:meth:`LanguageModel.means` of one text, a block at a time; ``table`` has a row for each bin."""
+    return (counts(text) / np.maximum([len(text) - n + 1 for n in SIZES], 1)[:, None]).sum(axis=0) @ table.astype(np.float64)
 
-def windows(text: str | None, pieces: int, window: int) -> list[bytes]:
-    """At most ``pieces`` windows of whole words, each half as long as the one before, from places spread over the text."""
-    body = prepared(text)
-    if not body:
-        return []
-    out, width = [], window
-    for i in range(pieces):
-        at = (len(body) - width) * i // max(pieces - 1, 1) if len(body) > width else 0
-        piece = body[at : at + width]
-        a, b = piece.find(b" "), piece.rfind(b" ")
-        if b - a > 4:
-            out.append(piece[a : b + 1])
-        width = max(width // 2, 24)
+
+def counts(text: bytes) -> np.ndarray:
+    """How often each bin occurs, a row for each size of n-grams."""
+    out = np.zeros((len(SIZES), BINS))
+    for n, grams in blocks(text):
+        out[SIZES.index(n)] += np.bincount(grams, minlength=BINS)[:BINS]
     return out
 
 
-def fit(rows: DataFrame, docs_per_lang: int = 250, pieces: int = 3, window: int = 600) -> LanguageModel:
+def vector(text: bytes) -> np.ndarray:
+    """Relative frequencies of the n-grams of a whole text, summed over their sizes."""
+    return (counts(text) * (SCALE / np.maximum([len(text) - n + 1 for n in SIZES], 1)[:, None])).sum(axis=0).astype(np.float32)
+
+
+def learned(rows: DataFrame, least_docs: int, most_langs: int) -> dict[str, int]:
+    """The languages with enough documents, and their numbers."""
+    seen = rows.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
+    found = {r["lang"]: r["n"] for r in seen.orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()}
+    if len(found) > most_langs:
+        raise ValueError(f"more than {most_langs} languages have {least_docs} documents or more; is the column clean? (most_langs, least_docs)")
+    return found
+
+
+def fit(rows: DataFrame, docs_per_lang: int = 400, least_docs: int = 5, most_langs: int = 100) -> LanguageModel:
     """Train on ``rows`` (id, text, lang), of which a bounded number for each language is used."""
-    labelled = rows.filter("lang is not null").withColumn("rank", F.xxhash64(F.col("id").cast("string"), F.col("text")))
-    # The smallest ranks of each language, by an aggregate whose state is bounded; no sort of all rows.
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * docs_per_lang / n)))]) if counts else None
-    if share is None:
+    langs = learned(rows, least_docs, most_langs)
+    if not langs:
         return LanguageModel()
-    near = labelled.filter(F.pmod("rank", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [windows(t, pieces, window) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.binary()))], names=["lang", "rank", "pieces"])
-
-    sample = near.select("lang", "rank", "text").mapInArrow(cut, "lang string, rank long, pieces array<binary>")
-    picked = sample.orderBy("rank", "lang").limit(3 * docs_per_lang * len(counts)).collect()
-    taken: dict[str, int] = {}
-    texts, langs = [], []
-    for r in picked:
-        if taken.get(r["lang"], 0) < docs_per_lang:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts += [bytes(p) for p in r["pieces"]]
-            langs += [r["lang"]] * len(r["pieces"])
-    return fit_texts(texts, langs)
-
-
-def fit_texts(texts: list[bytes], langs: list[str]) -> LanguageModel:
-    if not texts:
+    rank = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text")), F.lit(1 << 40))
+    labelled = rows.filter(F.col("lang").isin(list(langs))).select("lang", "text", rank.alias("rank"))
+    below = lambda most: F.col("rank") < F.element_at(F.create_map(*[x for lang, n in most.items() for x in (F.lit(lang), F.lit(n).cast("long"))]), F.col("lang"))
+    # About twice as many as are needed pass the first look; the smallest ranks of these are taken.
+    near = labelled.filter(below({lang: int(min(1.0, 2.0 * docs_per_lang / n) * (1 << 40)) for lang, n in langs.items()}))
+    ranks: dict[str, list[int]] = {lang: [] for lang in langs}
+    for r in near.select("lang", "rank").distinct().orderBy("rank", "lang").limit(3 * docs_per_lang * len(langs)).collect():
+        ranks[r["lang"]].append(r["rank"])
+    picked = near.filter(below({lang: (x[docs_per_lang] if len(x) > docs_per_lang else 1 << 40) for lang, x in ranks.items()}))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            ready = [prepared(t) for t in batch.column(2).to_pylist()]
+            made = [vector(t) for t in ready]
+            at = [np.flatnonzero(v) for v in made]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in ready], pa.int64()), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([v[x] for v, x in zip(made, at, strict=True)], pa.list_(pa.float32()))],
+                names=["lang", "rank", "size", "bins", "shares"],
+            )
+
+    # Rows that repeat id and text train once.
+    single = picked.groupBy("lang", "rank").agg(F.first("text").alias("text"))
+    sample = single.mapInArrow(count, "lang string, rank long, size long, bins array<int>, shares array<float>").filter("size > 0").toArrow().sort_by([("rank", "ascending"), ("lang", "ascending")])
+    x = np.zeros((sample.num_rows, BINS), np.float32)
+    for i, (bins, shares) in enumerate(zip(sample["bins"], sample["shares"], strict=True)):
+        x[i, bins.values.to_numpy()] = shares.values.to_numpy()
+    return fit_vectors(x, sample["lang"].to_pylist(), sample["size"].to_numpy())
+
+
+def fit_vectors(x: np.ndarray, langs: list[str], sizes: np.ndarray) -> LanguageModel:
+    """Train on the :func:`vector` of each text, its language and its bytes."""
+    if not len(x):
         return LanguageModel()
-    x, y = vectors(texts), np.array(langs)
+    y = np.array(langs)
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(family_of(lang), []).append(lang)
@@ -224,21 +261,22 @@ def fit_texts(texts: list[bytes], langs: list[str]) -> LanguageModel:
     for p, q in pairs:
         rows = np.flatnonzero((y == p) | (y == q))
         add(rows, y[rows] == p)
-    return LanguageModel(families, pairs, np.array(weights), np.array(scales), *fit_profiles(x, y))
+    return LanguageModel(families, pairs, np.array(weights), np.array(scales), *fit_profiles(x, y, sizes))
 
 
-def fit_profiles(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Profiles of the languages, and what is typical of windows that they weren't made from; none if a language has too few of those."""
-    profiles, typical, per_size = [], [], len(SIZES) * SCALE
+def fit_profiles(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Profiles of the languages, and what is typical of texts that they weren't made from: a mean of each, and one deviation of all; none if a language has too few such texts."""
+    profiles, means, off, per_size = [], [], [], len(SIZES) * SCALE
     for lang in sorted(set(y)):
-        own = x[y == lang]
-        held = np.arange(len(own)) // 3 % 5 == 0  # windows of one document are neighbours
+        own, chance = x[y == lang], np.sqrt(1 + SHORT / sizes[y == lang])
+        held = np.arange(len(own)) % 5 == 0
         if held.sum() < LEAST_HELD or held.all():
             return np.zeros((0, BINS), np.float32), np.zeros((0, 2))
         profiles.append(np.log(own[~held].mean(axis=0) / per_size + UNSEEN))
-        z = own[held] @ profiles[-1] / per_size
-        typical.append((z.mean(), max(z.std(), 0.05)))
-    return np.array(profiles, np.float32), np.array(typical)
+        z, spread = own[held] @ profiles[-1] / per_size, chance[held]
+        means.append(np.average(z, weights=1 / spread**2))
+        off.append(np.mean(((z - means[-1]) / spread) ** 2))
+    return np.array(profiles, np.float32), np.array([(m, max(float(np.sqrt(np.mean(off))), 0.05)) for m in means])
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
