@@ -9,8 +9,14 @@ boundary wastes the fewest tokens. Inside a bucket, pieces in a hashed order fil
 Places inside a bucket come from counts of hash ranges plus a place inside the range, so a bucket
 with a third of all pieces is never ordered in one task, and all batches but a bucket's last are full.
 
-Defined cases: a document without tokens, or whose length is null, makes no piece and no row. Rows that share an id
-share the hash; their pieces are ordered by number, then length. Empty tables give empty results.
+Every row has a hash of its own, so rows that share an id, or have none, are spread like others:
+it is taken from ``row_col``, a number that tells rows apart (see ``common.row_keyed``), or where that
+isn't given from the place of the row in the frame.
+
+Defined cases: a document without tokens, or whose length is null, makes no piece and no row. A
+document of any length is cut into pieces, none is lost. Pieces with the same hash are ordered by id
+(null first), number, then length. Empty tables give empty results. Columns other than those
+named are not read.
 """
 
 from __future__ import annotations
@@ -51,26 +57,27 @@ def choose_boundaries(histogram: dict[int, int], n_buckets: int) -> list[int]:
     return out[::-1]
 
 
-def pieces(df: DataFrame, id_col: str, length: Column, max_length: int) -> DataFrame:
-    """id, piece, start, length: every document in pieces of at most ``max_length``."""
+def pieces(df: DataFrame, id_col: str, length: Column, max_length: int, row: Column) -> DataFrame:
+    """id, row, piece, start, length: every document in pieces of at most ``max_length``."""
     whole = F.ceil(F.col("total") / max_length).cast("int")
     number = F.explode(F.when(F.col("total") > 0, F.sequence(F.lit(0), whole - 1)))
     return (
-        df.select(F.col(id_col).alias("id"), length.cast("long").alias("total"))
-        .select("id", "total", number.alias("piece"))
-        .select("id", "piece", (F.col("piece").cast("long") * max_length).alias("start"), F.least(F.lit(max_length).cast("long"), F.col("total") - F.col("piece").cast("long") * max_length).cast("int").alias("length"))
+        df.select(F.col(id_col).alias("id"), row.cast("long").alias("row"), length.cast("long").alias("total"))
+        .select("id", "row", "total", number.alias("piece"))
+        .select("id", "row", "piece", (F.col("piece").cast("long") * max_length).alias("start"), F.least(F.lit(max_length).cast("long"), F.col("total") - F.col("piece").cast("long") * max_length).cast("int").alias("length"))
     )
 
 
-def pack(df: DataFrame, length: Column, id_col: str = "doc_id", max_length: int = 2048, n_buckets: int = 16, token_budget: int = 65_536, seed: int = 11) -> DataFrame:
+def pack(df: DataFrame, length: Column, id_col: str = "doc_id", row_col: str | None = None, max_length: int = 2048, n_buckets: int = 16, token_budget: int = 65_536, seed: int = 11) -> DataFrame:
     """One row for each piece: id, piece, start, length, bucket (padded length), batch (number inside the bucket), slot.
 
     ``length`` is a document's number of tokens, such as :func:`lexmend.llm.tokens.token_counts` gives.
     """
     if token_budget < max_length:
         raise ValueError("token_budget must hold a piece of max_length")
-    spread = F.xxhash64(as_text(F.col("id")), F.col("piece"), F.lit(seed))
-    cut = staged(pieces(df, id_col, length, max_length).withColumn("h", spread), "pack-pieces")
+    spread = F.xxhash64(as_text(F.col("id")), F.col("row"), F.col("piece"), F.lit(seed))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    cut = staged(pieces(df, id_col, length, max_length, row).select("id", "piece", "start", "length", spread.alias("h")), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_length rows
     ends = choose_boundaries(histogram, n_buckets)
     bucket, ranges = F.lit(max_length), F.lit(1).cast("long")

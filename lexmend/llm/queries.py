@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmend.llm import langid, licenses, toxicity
-from lexmend.llm.common import crc_bucket, read
+from lexmend.llm.common import crc_bucket, read, row_keyed
 from lexmend.llm.exact_dedup import exact_groups
 from lexmend.llm.line_dedup import drop_repeated_lines
 from lexmend.llm.mixing import mix_plan
@@ -57,7 +57,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_counts(read(spark, sf_dir, "documents")), F.col("tokens"))
+    docs, key = row_keyed(read(spark, sf_dir, "documents"))
+    return pack(token_counts(docs, also=(key,)), F.col("tokens"), row_col=key)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

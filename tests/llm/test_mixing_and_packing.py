@@ -182,6 +182,8 @@ def test_pack(spark, monkeypatch, range_rows):
         own = [batches[bucket, b] for b in range(len([k for k in batches if k[0] == bucket]))]
         assert all(sorted(x) == list(range(held)) for x in own[:-1]) and sorted(own[-1]) == list(range(len(own[-1])))
     assert pack(spark.createDataFrame([], "doc_id long, text string"), words_of).count() == 0
+    again = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash")).withColumn("bucket", F.lit("clash")).withColumn("piece", F.lit("clash"))
+    assert Counter((r["doc_id"], r["length"], r["bucket"]) for r in pack(again, words_of, max_length=64, n_buckets=4, token_budget=256).collect()) == Counter((r["doc_id"], r["length"], r["bucket"]) for r in got)
     with pytest.raises(ValueError):
         pack(spark.createDataFrame(rows, "doc_id long, text string"), words_of, token_budget=10)
 
@@ -195,3 +197,33 @@ def test_token_counts(spark):
     assert got == Counter((i, len(encode.encode_ordinary(t or ""))) for i, t in rows)
     assert all(encode.decode(encode.encode_ordinary(t)) == t for _, t in rows if t)
     assert token_counts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("row_col", [None, "n"])
+def test_rows_without_ids_are_spread(spark, monkeypatch, row_col):
+    """A third of the rows have no id and one text: each has its own place in the order, none lies in one range with all the others."""
+    from lexmend.llm import packing
+
+    held = {}
+    monkeypatch.setattr(packing, "staged", lambda df, name, f=packing.staged: held.setdefault(name, f(df, name)))
+    monkeypatch.setattr(packing, "RANGE_ROWS", 20)
+    rows = [(None if i % 3 == 0 else i, "a b c", i) for i in range(600)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, n long"), n_words(F.col("text")), row_col=row_col, max_length=8, token_budget=12).collect()
+    assert len(got) == 600 and len({(r["bucket"], r["batch"], r["slot"]) for r in got}) == 600
+    assert held["pack-pieces"].select("h").distinct().count() == 600
+    counts = [b - a for a, b in zip(sorted(r["ahead"] for r in held["pack-ranges"].collect()), sorted(r["ahead"] for r in held["pack-ranges"].collect())[1:], strict=False)]
+    assert max(counts) < 60
+
+
+@pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary")
+def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
+    from lexmend.llm import tokens
+
+    encode = encoder(Path(VOCABULARY).read_bytes(), PATTERN).encode_ordinary
+    monkeypatch.setattr(tokens, "PIECE", 50)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        text = "".join(rng.choice(list("ab é1!\n ' "), int(rng.integers(0, 400))))
+        assert tokens.count(text, encode) == len(encode(text))
+    with pytest.raises(FileNotFoundError, match="LEXMEND_VOCABULARY"):
+        token_counts(spark.createDataFrame([(1, "x")], "doc_id long, text string"), vocabulary="/nowhere")
