@@ -2,24 +2,31 @@
 
 A text is the set of its words and of the word beginnings of 4 to 6 letters, hashed. Beginnings
 carry what a stem says about words that training never saw. Features enter the model if they
-separate the classes of the training rows by more than ``least_z`` standard errors; the terms for
-groups of people always enter, so that the penalty can act on them.
+separate the classes of the training rows by more than ``least_z`` standard errors and occur in
+``least_rows`` of them, the ``most_features`` strongest; the terms for groups of people always enter,
+so that the penalty can act on them.
 
 Training minimises log loss + ridge + ``penalty`` times the mean squared change of the logit
 when, in a labelled sentence, every identity term is swapped for another one of its group. A
 neutral mention of a group then can't raise the score by much, however the labels are biased.
-
-Labels are taken from a bounded, documented sample: at most ``rows_per_class`` rows of each class,
-by a hash of the id; its size bound is what lets it be broadcast.
-
-Defined cases: null and empty texts get the score of no feature at all. Several labels of one id
-count as toxic if any is. Ids without a text row train nothing. Without labels of both classes the
-score is 0. Repeated rows are scored alike.
+Every sentence of the sampled texts counts; sentences that change by the same features are one
+weighted pair, so a long text sends as many pairs as it has kinds of change.
+
+Labels are taken from a bounded, documented sample: the ``rows_per_class`` ids of each class with
+the smallest hashes, which is what lets them be broadcast; one text of each id trains.
+
+Defined cases: null and empty texts get the score of no feature at all. Texts are read whole,
+however long. Several labels of one id count as toxic if any is; labels other than 0 and 1, and
+null ids, train nothing. Of several texts under one id that with the smallest hash trains. Ids
+without a text row train nothing. Of features that separate equally the smaller bin enters first.
+Without labels of both classes the score is 0. Repeated rows are scored alike. Empty tables give empty
+results. Columns other than id, text and label, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import staged
+from lexmend.llm.common import drop_staged, staged
 
 BINS = 1 << 20
 TOKEN = re.compile(r"\w+")
@@ -63,19 +70,18 @@ def tokens(text: str | None) -> set[str]:
     return set(TOKEN.findall((text or "").lower()))
 
 
-def swapped_sentences(text: str | None, most: int = 4) -> list[tuple[set[str], set[str]]]:
-    """Words of the first sentences with an identity term, as they are and with the terms swapped."""
-    out = []
+def swapped_sentences(text: str | None) -> list[tuple[set[str], set[str]]]:
+    """Words of every sentence with an identity term, as they are and with the terms swapped."""
     lowered = (text or "").lower()
     if not any(term in lowered for term in SWAP):
-        return out
-    for sentence in SENTENCE.findall(lowered):
-        found = set(TOKEN.findall(sentence))
-        if found & SWAP.keys():
-            out.append((found, {SWAP.get(w, w) for w in found}))
-            if len(out) == most:
-                break
-    return out
+        return []
+    every = (set(TOKEN.findall(sentence)) for sentence in SENTENCE.findall(lowered))
+    return [(found, {SWAP.get(w, w) for w in found}) for found in every if found & SWAP.keys()]
+
+
+def changes(text: str | None) -> Counter[tuple[frozenset[str], frozenset[str]]]:
+    """How often a swap takes which words out of a sentence and puts which in."""
+    return Counter((frozenset(a - b), frozenset(b - a)) for a, b in swapped_sentences(text))
 
 
 @dataclass
@@ -108,16 +114,13 @@ class ToxicityModel:
 
 
 def sample_labels(labels: DataFrame, rows_per_class: int) -> DataFrame:
-    """At most about ``rows_per_class`` ids of each class (id, toxic), spread by a hash of the id."""
-    ids = labels.filter("id is not null and toxic is not null").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r["toxic"] in (0, 1)}  # two rows
-    part = F.lit(0.0)
-    for label, n in counts.items():
-        part = F.when(F.col("toxic") == label, F.lit(min(1.0, rows_per_class / n))).otherwise(part)
-    return ids.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part * float(1 << 30))
+    """The ``rows_per_class`` ids of each class (id, toxic) with the smallest hashes."""
+    ids = labels.filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    ranked = [ids.filter(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for label in (0, 1)]
+    return ranked[0].union(ranked[1])
 
 
-def select_bins(rows: DataFrame, least_z: float, most: int) -> list[int]:
+def select_bins(rows: DataFrame, least_z: float, least_rows: int, most: int) -> list[int]:
     """Bins whose share of toxic rows is off by ``least_z`` standard errors, the strongest ``most``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,18 +141,19 @@ def select_bins(rows: DataFrame, least_z: float, most: int) -> list[int]:
     n = F.col("n0") + F.col("n1")
     z = (F.col("n1") - n * rate) / F.sqrt(n * (rate * (1 - rate)))
     counted = rows.select("toxic", "text").mapInArrow(count, "bin int, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    strong = counted.filter(n >= 3).withColumn("z", F.abs(z)).filter(F.col("z") > least_z).orderBy(F.desc("z"), "bin").limit(most)
+    strong = counted.filter(n >= least_rows).withColumn("z", F.abs(z)).filter(F.col("z") > least_z).orderBy(F.desc("z"), "bin").limit(most)
     return [r["bin"] for r in strong.select("bin").collect()]  # at most ``most`` rows
 
 
-def optimise(size: int, rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], penalty: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Adam on the full sample: rows are lists of feature numbers, pairs those of a sentence and its swap."""
+def optimise(size: int, rows: list[list[int]], y: np.ndarray, pairs: dict[tuple[tuple[int, ...], tuple[int, ...]], int], penalty: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Adam on the full sample: rows are lists of feature numbers, pairs those that a swap takes out and puts in, with their number."""
 
-    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def flat(lists) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([f for x in lists for f in x], dtype=np.int64)
 
     at, what = flat(rows)
     one, two = flat([a for a, _ in pairs]), flat([b for _, b in pairs])
+    often = np.array(list(pairs.values()), dtype=np.float64)
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     # Both classes weigh the same, so that one telling word can outweigh the bias.
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -159,38 +163,47 @@ def optimise(size: int, rows: list[list[int]], y: np.ndarray, pairs: list[tuple[
         g = np.append(np.bincount(what, error[at], size), error.sum())
         g[:-1] += ridge * w[:-1]
         if pairs:
-            change = (np.bincount(one[0], w[one[1]], len(pairs)) - np.bincount(two[0], w[two[1]], len(pairs))) * (2 * penalty / len(pairs))
+            change = (np.bincount(one[0], w[one[1]], len(pairs)) - np.bincount(two[0], w[two[1]], len(pairs))) * often * (2 * penalty / often.sum())
             g[:-1] += np.bincount(one[1], change[one[0]], size) - np.bincount(two[1], change[two[0]], size)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 8000, penalty: float = 1.0, ridge: float = 2e-4, least_z: float = 4.5, most_features: int = 4000, steps: int = 600) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 8000, penalty: float = 1.0, ridge: float = 2e-4, least_z: float = 4.5, least_rows: int = 3, most_features: int = 4000, steps: int = 600) -> ToxicityModel:
     """Train on ``docs`` (id, text) and ``labels`` (id, toxic)."""
-    picked = F.broadcast(sample_labels(labels, rows_per_class))  # bounded by 2 * rows_per_class
-    rows = staged(docs.join(picked, "id").select("toxic", "text"), "toxicity")
-    bins = select_bins(rows, least_z, most_features)
+    picked = F.broadcast(sample_labels(labels, rows_per_class))  # at most 2 * rows_per_class rows
+    # One text of each id: the sample is bounded by its labels, whatever ids repeat.
+    single = docs.join(picked, "id").groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = staged(single.select("toxic", "t.text"), "toxicity")
+    bins = select_bins(rows, least_z, least_rows, most_features)
     if not bins:
+        drop_staged(rows)
         return ToxicityModel()
     terms = {b for t in SWAP for b in features(t)}
     order = {b: i for i, b in enumerate(sorted({*bins, *terms}))}
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lambda found: sorted({order[b] for w in found for b in features(w) if b in order})
+        kind = pa.list_(pa.int32())
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            swaps = [swapped_sentences(t) for t in texts]
-            kind = pa.list_(pa.int32())
+            swaps = [changes(t) for t in texts]
+            sides = [pa.array([[known(pair[side]) for pair in s] for s in swaps], pa.list_(kind)) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([known(tokens(t)) for t in texts], kind), pa.array([[known(a) for a, _ in s] for s in swaps], pa.list_(kind)), pa.array([[known(b) for _, b in s] for s in swaps], pa.list_(kind))],
-                names=["y", "f", "a", "b"],
+                [batch.column(0), pa.array([known(tokens(t)) for t in texts], kind), *sides, pa.array([list(s.values()) for s in swaps], pa.list_(pa.int64()))],
+                names=["y", "f", "a", "b", "n"],
             )
 
-    sample = rows.select("toxic", "text").mapInArrow(project, "y int, f array<int>, a array<array<int>>, b array<array<int>>").collect()  # bounded as the sample is
+    sample = rows.select("toxic", "text").mapInArrow(project, "y int, f array<int>, a array<array<int>>, b array<array<int>>, n array<long>").collect()  # at most 2 * rows_per_class rows
+    drop_staged(rows)
     sample.sort(key=lambda r: (r["y"], r["f"]))
-    pairs = [(a, b) for r in sample for a, b in zip(r["a"], r["b"], strict=True)]
-    w, bias = optimise(len(order), [r["f"] for r in sample], np.array([r["y"] for r in sample], float), pairs, penalty, ridge, steps)
+    pairs: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()
+    for r in sample:
+        for a, b, n in zip(r["a"], r["b"], r["n"], strict=True):
+            shared = {*a} & {*b}  # beginnings that a term and its stand-in have in common
+            pairs[tuple(x for x in a if x not in shared), tuple(x for x in b if x not in shared)] += n
+    w, bias = optimise(len(order), [r["f"] for r in sample], np.array([r["y"] for r in sample], float), dict(sorted(pairs.items())), penalty, ridge, steps)
     return ToxicityModel({b: float(w[i]) for b, i in order.items() if w[i]}, bias)
 
 

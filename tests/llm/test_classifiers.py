@@ -1,8 +1,13 @@
 """Language, toxicity, licences and quality rules: brute force, held-out accuracy, odd rows."""
 
+import math
 import random
 import re
+import subprocess
+import sys
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -46,10 +51,13 @@ def test_languages(spark):
     assert langid.fit(train.limit(0)).predict(["text"])[0] == ["und"]
 
 
-def test_margins_by_hand():
-    """The batch sums are the mean weights of each text's n-grams, one by one."""
+@pytest.mark.parametrize("block", [16, 1 << 18])
+def test_margins_by_hand(monkeypatch, block):
+    """The batch sums are the mean weights of each text's n-grams, one by one, in blocks or not."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = np.random.default_rng(1)
-    texts = [langid.prepared(t) for t in ("Äpfel und Birnen", "a", "", "wörter " * 30, None, "ok")]
+    texts = [langid.prepared(t) for t in ("Äpfel und Birnen", "a", "", "wörter -- " * 30, None, "ok", "abcdefghijklmno", "1 . - a1b")]
+    assert texts[3] == " wörter".encode() * 30 + b" " and texts[-1] == b" a b "
     model = langid.LanguageModel({"f": ["x"]}, [], rng.normal(size=(2, langid.BINS + 1)).astype(np.float32), np.ones(2))
     got = model.margins(texts)
     for row, text in zip(got, texts, strict=True):
@@ -58,9 +66,60 @@ def test_margins_by_hand():
             grams = [langid.byte_grams(np.frombuffer(text[i : i + n], np.uint8).astype(np.uint64), (n,), langid.BINS)[0][0] for i in range(len(text) - n + 1)]
             if grams:
                 want = want + langid.SCALE * model.weights[:, grams].mean(axis=1)
+                assert langid.counts(text)[n - 1].sum() == len(grams)
         assert row == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_duels_by_hand():
+    """Family by the best chance; inside it the language whose worst duel is best; the score is the product."""
+    rng = np.random.default_rng(4)
+    families, pairs = {"g": ["da", "de", "en"], "r": ["es"]}, [("da", "de"), ("da", "en"), ("de", "en")]
+    model = langid.LanguageModel(families, pairs, rng.normal(size=(5, langid.BINS + 1)).astype(np.float32), rng.uniform(0.5, 2, 5))
+    texts = ["".join(rng.choice(list("abcde "), 60)) for _ in range(50)] + [None, "12"]
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        if not langid.prepared(text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        z = model.margins([langid.prepared(text)])[0] * model.scales
+        g, r, da_de, da_en, de_en = 1 / (1 + np.exp(-z))
+        worst = {"da": min(da_de, da_en), "de": min(1 - da_de, de_en), "en": min(1 - da_en, 1 - de_en)}
+        want = (max(worst, key=worst.get), g * max(worst.values())) if g >= r else ("es", r)
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-5)
+
+
+def test_whole_texts_train(spark):
+    """What tells two languages apart stands far behind the start of the long labelled texts."""
+    rng = random.Random(3)
+    same = lambda: " ".join(rng.choice(["ana", "bob", "cec"]) for _ in range(3000))
+    rows = [(i, same() + " " + ("xyx " if i % 2 else "quq ") * 600, "en" if i % 2 else "de") for i in range(40)]
+    rows += [(0, rows[0][1], "de")] * 30 + [(900 + i, "qq", "rare") for i in range(4)] + [(None, None, "en"), (None, "", "de")]
+    train = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = langid.fit(train, docs_per_lang=12)
+    assert model.pairs == [("de", "en")] and model.predict(["xyx xyx", "quq quq quq"])[0] == ["en", "de"]
+    assert np.array_equal(model.weights, langid.fit(train.repartition(3), docs_per_lang=12).weights)
+    with pytest.raises(ValueError, match="most_langs"):
+        langid.fit(train, least_docs=1, most_langs=2)
+
+
+def test_a_long_text_takes_little_memory():
+    """A worker's memory doesn't grow with classifiers times bytes."""
+    code = """
+import resource, sys
+sys.path.insert(0, %r)
+import numpy as np
+from lexmend.llm import langid
+model = langid.LanguageModel({"a": ["de", "en"], "b": ["es", "fr"]}, [("de", "en"), ("es", "fr")], np.ones((4, langid.BINS + 1), np.float32), np.ones(4))
+text = "wort und satz " * 2_200_000
+was = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.predict([text, "kurz"])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - was) // 1024)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code % root], capture_output=True, text=True, check=True, timeout=120)
+    assert int(done.stdout) < 400
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
@@ -121,9 +180,55 @@ def test_toxicity_without_both_classes(spark):
     assert model.scorer()("a b") == 0.0
 
 
+def score_by_hand(model, text):
+    """From the definition: every word and its beginnings of 4 to 6 letters, each bin once."""
+    bins = set()
+    for word in re.findall(r"\w+", (text or "").lower()):
+        bins |= {zlib.crc32(x.encode()) % (1 << 20) for x in [word, *(word[:n] + "~" for n in (4, 5, 6) if len(word) > n)]}
+    return 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(b, 0.0) for b in bins))))
+
+
+def test_toxicity_scores_by_hand(spark):
+    rows = comments(400, 8)
+    model = fitted(spark, rows)
+    texts = [t for _, t, _ in rows[:50]] + [t for _, t in ODD] + ["vrakon " * 200_000 + "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("id", F.lit("clash"))
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, model).collect()}
+    for i, text in enumerate(texts):
+        want = score_by_hand(model, text)
+        assert got[i]["score"] == pytest.approx(want) and got[i]["predicted"] == int(want >= 0.5)
+    assert toxicity.score_toxicity(df.limit(0), model).count() == 0
+    empty = spark.createDataFrame([], "id long, text string"), spark.createDataFrame([], "id long, toxic int")
+    assert toxicity.fit(*empty).bias is None
+
+
 def test_swaps():
     assert toxicity.swapped_sentences("Plain. A Muslim man! none") == [({"a", "muslim", "man"}, {"a", "christian", "girl"})]
     assert toxicity.swapped_sentences(None) == []
+    every = toxicity.changes("A muslim came. " * 50 + "Black and white. The muslim left.")
+    assert every == {(frozenset(["muslim"]), frozenset(["christian"])): 51, (frozenset(["black"]), frozenset(["asian"])): 1}
+
+
+def test_late_sentences_are_swapped_too(spark):
+    """Beyond the first sentences with a term: a bias that a late sentence shows is penalised."""
+    rows = comments(900, 4, bias=0.5)
+    late = [(i, "The old man sat. " * 6 + t, y) for i, t, y in rows]
+    gap = {}
+    for penalty in (0.0, 20.0):
+        score = fitted(spark, late, penalty=penalty).scorer()
+        gap[penalty] = abs(score("the muslim family moved here") - score("the christian family moved here"))
+    assert gap[20.0] < 0.3 * gap[0.0] or gap[20.0] < 0.01
+
+
+def test_repeated_ids_train_once(spark):
+    """A third of all rows under one id, and labels that repeat, leave the sample bounded and the model as it is."""
+    rows = comments(300, 5)
+    plain = fitted(spark, rows)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, rows[7][1])] * 150, "id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2 + [(3, None), (4, 9)], "id long, toxic int")
+    again = toxicity.fit(docs, labels)
+    assert again.weights == pytest.approx(plain.weights) and again.bias == pytest.approx(plain.bias)
+    assert toxicity.sample_labels(labels, 20).count() == 40
 
 
 def background(texts):
