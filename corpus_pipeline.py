@@ -22,7 +22,7 @@ from lexmend.llm.tokens import token_counts
 from lexmend.plans.home import shared_dir
 
 #: Texts whose n-grams are further than this from typical ones, in deviations, are in no known language.
-LEAST_FIT = -7.5
+LEAST_FIT = -10.0
 #: Near copies share this much of their sets of five-word shingles; the distance is wide enough to find them.
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 14
 
