@@ -138,6 +138,7 @@ SINGLE_QUOTES = "ʼ‘’‚‛"
 CONTROLS = ((0x00, 0x08), (0x0B, 0x0B), (0x0E, 0x1F), (0x7F, 0x7F), (0x206A, 0x206F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFC))
 CONTROL_CLASS = "[" + "".join(f"\\u{a:04X}" if a == b else f"\\u{a:04X}-\\u{b:04X}" for a, b in CONTROLS) + "]"
 
+# --- Fixed values: line breaks, and what is read as a character reference.
 LINE_BREAKS = r"\r\n|[\r\u0085\u2028\u2029]"
 ENTITY = r"&#?[0-9A-Za-z]{1,24};"
 

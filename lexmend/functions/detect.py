@@ -15,6 +15,11 @@ def is_ascii(c: ColumnOrName) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
+def is_control_char(c: ColumnOrName) -> Column:
+    """Whether the text is a single control character that texts should not hold."""
+    return col(c).rlike(patterns.ONE_CONTROL)
+
+
 def is_bad(c: ColumnOrName) -> Column:
     """Whether the text holds a sequence that intact text hardly has."""
     text = col(c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmend import kernel
 from lexmend.config import DEFAULT
-from lexmend.functions.fixers import ColumnOrName, col
+from lexmend.functions.fixers import ColumnOrName, bind, col
 
 
 def lines(c: ColumnOrName) -> Column:
@@ -38,5 +38,8 @@ def before_angle(c: ColumnOrName) -> Column:
 
 def sticky_angle(c: ColumnOrName) -> Column:
     """For every line whether "auto" still decodes entities in it: not from the first ``<`` on."""
-    found = lines(c)
-    return F.transform(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i + 1), lambda y: F.contains(y, F.lit("<"))))
+    text = col(c)
+    head = F.substring_index(text, "<", 1)
+    ahead = F.when(F.contains(text, F.lit("<")), F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).otherwise(F.length(text))
+    # The number of the first line with one is found once for the text.
+    return bind(ahead, lambda n: F.transform(lines(text), lambda x, i: i < n))

@@ -79,7 +79,7 @@ def kernel_text(c: ColumnOrName, config: TextFixerConfig = DEFAULT) -> Column:
 
     @F.pandas_udf("string")
     def fixed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else kernel.fix_text(t, config))
+        return texts.map(lambda t: None if t is None else kernel.fix_text_safely(t, config))
 
     return fixed(col(c))
 
@@ -113,7 +113,7 @@ def fix_and_explain(c: ColumnOrName, config: TextFixerConfig = DEFAULT) -> Colum
 
     @F.pandas_udf(EXPLAINED)
     def fixed(texts: pd.Series) -> pd.DataFrame:
-        done = [(None, None) if t is None else kernel.fix_and_explain(t, config) for t in texts]
+        done = [(None, None) if t is None else kernel.fix_and_explain_safely(t, config) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in done], "steps": [None if s is None else [{"transformation": x} for x in s] for _, s in done]})
 
     made = fixed(F.when(~untouched(text, config, whole=True), text))

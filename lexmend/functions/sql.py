@@ -46,6 +46,7 @@ def bodies() -> dict[str, tuple[str, str]]:
         "remove_control_chars": ("STRING", f"regexp_replace(t, {quoted(chars.CONTROL_CLASS)}, '')"),
         "is_bad": ("BOOLEAN", f"t RLIKE {found} AND t RLIKE {quoted(patterns.IS_BAD)}"),
         "badness": ("INT", f"CASE WHEN t RLIKE {found} AND t RLIKE {quoted(patterns.IS_BAD)} THEN regexp_count(t, {quoted(patterns.BADNESS)}) WHEN t IS NOT NULL THEN 0 END"),
+        "is_control_char": ("BOOLEAN", f"t RLIKE {quoted(patterns.ONE_CONTROL)}"),
         "text_lines": ("ARRAY<STRING>", f"array_remove(split(t, {quoted('(?<=' + chr(92) + 'n)')}), '')"),
     }
     for codec in chars.CANDIDATES:
@@ -78,13 +79,20 @@ def register(spark: SparkSession, config: TextFixerConfig = DEFAULT, prefix: str
 
     @F.pandas_udf(EXPLAINED)
     def explain(texts: pd.Series) -> pd.DataFrame:
-        done = [(None, None) if t is None else kernel.fix_and_explain(t, config) for t in texts]
+        done = [(None, None) if t is None else kernel.fix_and_explain_safely(t, config) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in done], "steps": [None if s is None else [{"transformation": x} for x in s] for _, s in done]})
 
-    for name, own, make in (("fix_text", config, lambda t: kernel.fix_text(t, config)), ("fix_encoding", ENCODING_ONLY, lambda t: kernel.fix_text(t, ENCODING_ONLY))):
-        register_text(f"{prefix}{name}_kernel", make)
+    for name, own in (("fix_text", config), ("fix_encoding", ENCODING_ONLY)):
+        register_text(f"{prefix}{name}_kernel", lambda t, own=own: kernel.fix_text_safely(t, own))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(t STRING) RETURNS STRING RETURN coalesce({prefix}{name}_kernel(CASE WHEN NOT ({_untouched(own)}) THEN t END), t)")
         names.append(prefix + name)
-    register_text(f"{prefix}unescape_html", kernel.unescape_html)
-    spark.udf.register(f"{prefix}fix_and_explain", explain)
+    register_text(f"{prefix}unescape_html_kernel", kernel.unescape_html)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}unescape_html(t STRING) RETURNS STRING RETURN coalesce({prefix}unescape_html_kernel(CASE WHEN t RLIKE {quoted(chars.ENTITY)} THEN t END), t)")
+    spark.udf.register(f"{prefix}fix_and_explain_kernel", explain)
+    none = "array()" if config.explain else "NULL"
+    plain = f"named_struct('text', t, 'steps', CAST({none} AS ARRAY<STRUCT<transformation: STRING>>))"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}fix_and_explain(t STRING) RETURNS {EXPLAINED} "
+        f"RETURN CASE WHEN t IS NULL THEN NULL WHEN {_untouched(config)} THEN {plain} ELSE {prefix}fix_and_explain_kernel(CASE WHEN NOT ({_untouched(config)}) THEN t END) END"
+    )
     return [*names, f"{prefix}unescape_html", f"{prefix}fix_and_explain"]

@@ -264,3 +264,19 @@ def fix_text(text: str, config: TextFixerConfig = DEFAULT) -> str:
         unescape = not angle if config.unescape_html == "auto" else config.unescape_html
         out.append(fix_and_explain(segment, with_entities if unescape else without_entities)[0])
     return "".join(out)
+
+
+def fix_text_safely(text: str, config: TextFixerConfig = DEFAULT) -> str:
+    """:func:`fix_text`, or the text itself where that fails: one text never ends a job."""
+    try:
+        return fix_text(text, config)
+    except Exception:  # whatever it is, the text is better than nothing
+        return text
+
+
+def fix_and_explain_safely(text: str, config: TextFixerConfig = DEFAULT) -> tuple[str, list[str] | None]:
+    """:func:`fix_and_explain`, or the text itself and no steps where that fails."""
+    try:
+        return fix_and_explain(text, config)
+    except Exception:  # as above
+        return text, None

@@ -227,6 +227,7 @@ ALTERED_UTF8 = (
     r"|\xF0[\x80-\xBF] [\x80-\xBF]"
     r"|\xF0[\x80-\xBF][\x80-\xBF] "
 )
+# --- Fixed values: what is special about the word "à", UTF-8 variants and terminals.
 #: A word "à" whose second byte turned into the blank behind it, and what follows it in other words.
 A_GRAVE = r"\xC3 [^ ]* ?"
 A_GRAVE_FOLLOWERS = (" ", "quele", "quela", "quilo", "s ")
@@ -247,4 +248,7 @@ LOSSY_UTF8 = (
 CESU8_PAIR = r"\xED(?:[\xA0-\xAF]|\z)(?:[\x80-\xBF]|\z)(?:\xED|\z)(?:[\xB0-\xBF]|\z)(?:[\x80-\xBF]|\z)"
 SPECIAL_BYTES = rf"\xC0(?:\x80|\z)|\xED(?:[\xA0-\xBF]|\z)(?:[\x80-\xBF]|\z)"
 
+#: A control sequence of terminals that ends in a letter.
 TERMINAL_ESCAPE = r"\x1B\[[\p{Nd};]*[A-Za-z]"
+#: A text that is one control character.
+ONE_CONTROL = rf"\A{chars.CONTROL_CLASS}\z"

@@ -22,11 +22,11 @@ class ExplainedText:
 
 
 def fix_text(text: str, config: TextFixerConfig | None = None) -> str:
-    """The text repaired segment by segment."""
-    return kernel.fix_text(text, config or DEFAULT)
+    """The text repaired segment by segment; the text itself if that should fail."""
+    return kernel.fix_text_safely(text, config or DEFAULT)
 
 
 def fix_and_explain(text: str, config: TextFixerConfig | None = None) -> ExplainedText:
-    """The text repaired as one segment, and the steps taken."""
-    fixed, steps = kernel.fix_and_explain(text, config or DEFAULT)
+    """The text repaired as one segment, and the steps taken; the text itself and None if that should fail."""
+    fixed, steps = kernel.fix_and_explain_safely(text, config or DEFAULT)
     return ExplainedText(fixed, None if steps is None else tuple(map(ExplanationStep, steps)))

@@ -1,6 +1,7 @@
 """Column functions and frame operators against the kernel, text by text."""
 
 import random
+import time
 import unicodedata
 
 import pytest
@@ -64,6 +65,7 @@ def test_detection(frame):
     check(frame, functions.may_be_bad("t"), lambda t: True, only=lambda t: any(map(kernel.is_bad, kernel.segments(t))))
     check(frame, functions.utf8_runs("t"), lambda t: [m[0] for m in kernel._RUN.finditer(t)])
     check(frame, functions.is_ascii("t"), str.isascii)
+    check(frame, functions.is_control_char("t"), lambda t: len(t) == 1 and any(a <= ord(t) <= b for a, b in chars.CONTROLS))
 
 
 @pytest.mark.parametrize("codec", [*chars.CANDIDATES, *chars.EXTRA_CODECS])
@@ -152,3 +154,22 @@ def test_reports(frame):
     total = badness_by(frame.filter("i >= 0").withColumn("k", F.lit(1)), "k", "t").collect()[0]
     assert total["badness"] == sum(map(kernel.badness, TEXTS)) and total["texts"] == len(TEXTS)
     assert {r["codec"]: r["texts"] for r in encodings(frame, "t").collect()}["latin-1"] == sum(all(c <= "\xff" for c in t) for t in TEXTS)
+
+
+def test_sticky_angle_takes_linear_time(spark):
+    long = "a\n" * 10_000 + "b <\n" + "c\n" * 10_000
+    texts = ["", "<", "a\nb<\nc", "a\nb", "\n\n<x\n", long, None]
+    made = spark.createDataFrame(list(enumerate(texts)), "i int, t string").cache()
+    made.select(functions.sticky_angle("t")).filter("i < 5").collect()
+    began = time.perf_counter()
+    got = {r["i"]: r["x"] for r in made.select("i", functions.sticky_angle("t").alias("x")).collect()}
+    assert time.perf_counter() - began < 3
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        want, open_ = [], True
+        for line in kernel.segments(t):
+            open_ = open_ and "<" not in line
+            want.append(open_)
+        assert got[i] == want

@@ -2,9 +2,11 @@
 
 import json
 import os
+import unicodedata
 from pathlib import Path
 
 import pytest
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -130,6 +132,49 @@ def test_never_raises(text):
     assert kernel.is_bad(text) == (kernel.badness(text) > 0)
 
 
+#: A string for each rule in its order, and one that misses it by a character.
+RULES = [
+    ("a\x81b", "a\xa1b"), ("é¨", "é´"), ("aЖ¨", "aЖб"), ("¨é", "¨a"), ("éÀ", "ÀÉ"), ("€é", "aé"), ("é€", "a€"), (" É€", " É a"), ("É²", "e²"), ("é„²", "a„²"),
+    ("é»«", "a»«"), ("€«", "a«"), ("aÉ«", "aÉ"), ("│ò", "│o"), ("é│", "e│"), ("│»", "│a"), ("é»a", "é» a"), ("œ1", "œa"), ("É°", "e°"), ("Ã©", "Ãa"),
+    ("×²", "×2"), ("Ø´Ù·", "Ø´a"), ("àµ", "aµ"), ("√±", "√2"), ("≈°", "≈5"), ("‚Äî", "‚Ä"), ("‚âà", "‚â"), ("вЂ", "ва"), ("Р°Р", "РаР"), ("ГўВЂВ™a", "ГўВ"),
+    ("Ã\xa0", "Ãb"), ("aÃ b", "aÃb"), ("Ã b", "C Ã b"), (".Â b", "CÂ b"), ("β€™", "βα"), ("Ξ°Ξ", "ΞαΞ"), ("ā€", "āa"),
+]
+
+
+@pytest.mark.parametrize("number", range(37))
+def test_rule(number):
+    bad, near = RULES[number]
+    assert kernel.badness(bad) > 0 and not kernel.is_bad(near) and kernel.badness(near) == 0
+    own = regex.compile(patterns._plain(patterns.SEQUENCES[number], patterns.char_set))
+    assert own.search(bad) and not own.search(near)
+
+
+def test_a_failing_kernel_returns_the_text(monkeypatch):
+    import lexmend
+
+    def broken(*_):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(kernel, "segments", broken)
+    monkeypatch.setattr(kernel, "fixers", broken)
+    assert kernel.fix_text_safely("“x”") == lexmend.fix_text("“x”") == "“x”"
+    done = lexmend.fix_and_explain("“x”")
+    assert (done.text, done.steps) == ("“x”", None)
+
+
+def test_normal_forms_of_both_engines_agree(spark):
+    """The normaliser of the JVM and Python's know the same characters, or those that one lacks are passed over by both."""
+    from pyspark.sql import functions as F
+
+    from lexmend.functions import normalize
+
+    codes = [c for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    frame = spark.createDataFrame([("".join(f"x{chr(c)}" for c in codes[i : i + 400]),) for i in range(0, len(codes), 400)], "t string")
+    for form in ("NFC", "NFKD"):
+        for r in frame.select("t", normalize("t", form).alias("n")).filter(F.col("t") != F.col("n")).collect():
+            assert r["n"] == unicodedata.normalize(form, r["t"])
+
+
 GOLDEN = os.environ.get("LEXMEND_GOLDEN")
 
 
