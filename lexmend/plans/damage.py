@@ -21,6 +21,3 @@ def curly(text: Column) -> Column:
     """Blanks before ``t`` get quotation marks."""
     return F.replace(F.replace(text, F.lit(" t"), F.lit(" ‘t’")), F.lit(" a"), F.lit(" “a”"))
 
-
-def straight(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit(" t"), F.lit(" 't'")), F.lit(" a"), F.lit(' "a"'))

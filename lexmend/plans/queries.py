@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,9 +143,10 @@ def ascii_texts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", detect.is_ascii("text").alias("ascii"))
 
 
-@query()
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\x00-\\x7F]+')) AS runs FROM documents")
 def utf8_runs(spark, sf_dir):
-    return _mojibake(spark, sf_dir, "sloppy-windows-1252").select("doc_id", F.size(detect.utf8_runs("text")).alias("runs"))
+    """Each run of characters beyond ASCII, read with windows-1252, is one run of what looks like UTF-8."""
+    return _mojibake(spark, sf_dir, "sloppy-windows-1252").select("doc_id", F.size(detect.utf8_runs("text")).cast("long").alias("runs"))
 
 
 # --- Single fixers
@@ -225,46 +227,59 @@ def unescape_references(spark, sf_dir):
 # --- Bytes
 
 
-def _plain(spark, sf_dir) -> DataFrame:
-    return docs(spark, sf_dir).filter(detect.is_ascii("text"))
+def _bytes(spark, sf_dir) -> DataFrame:
+    """The UTF-8 of the texts as byte strings."""
+    return docs(spark, sf_dir).select("doc_id", codecs.as_byte_string(F.encode("text", "UTF-8")).alias("data"))
 
 
-PLAIN = r"documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"
-
-
-@query(f"SELECT doc_id, replace(replace(text, ' the ', ' à la '), ' of ', ' Š ') AS text FROM {PLAIN}")
+@query("SELECT doc_id, replace(replace(text, '. ', '.à la '), ', ', ',Š') AS text FROM documents")
 def restore_byte_a0(spark, sf_dir):
-    text = damage.substitute(damage.substitute(F.col("text"), " the ", " àla "), " of ", " Š ")
-    data = F.translate(codecs.as_byte_string(F.encode(text, "UTF-8")), "\xa0", " ")
-    return _plain(spark, sf_dir).select("doc_id", data.alias("data")).select("doc_id", codecs.decode_utf8(codecs.restore_byte_a0("data")).alias("text"))
+    """Bytes A0 that turned into blanks, among the bytes of intact text."""
+    data = damage.substitute(damage.substitute(F.col("data"), ". ", ".\xc3 la "), ", ", ",\xc5 ")
+    return _bytes(spark, sf_dir).select("doc_id", data.alias("data")).select("doc_id", codecs.decode_utf8(codecs.restore_byte_a0("data")).alias("text"))
 
 
-@query(f"SELECT doc_id, replace(text, '. ', chr(65533) || 'x' || chr(65533) || '. ') AS text FROM {PLAIN}")
+@query("SELECT doc_id, replace(text, '. ', chr(65533) || 'x' || chr(65533) || '. ') AS text FROM documents")
 def replace_lossy_sequences(spark, sf_dir):
-    text = damage.substitute(F.col("text"), ". ", "\xe2\x80\x1ax\xc3?. ")
-    return _plain(spark, sf_dir).select("doc_id", codecs.decode_utf8(codecs.replace_lossy_sequences(text)).alias("text"))
+    data = damage.substitute(F.col("data"), ". ", "\xe2\x80\x1ax\xc3?. ")
+    return _bytes(spark, sf_dir).select("doc_id", codecs.decode_utf8(codecs.replace_lossy_sequences(data)).alias("text"))
 
 
-@query(f"SELECT doc_id, replace(text, '. ', '😀가. ') AS text, true AS broken FROM {PLAIN}")
+@query("SELECT doc_id, replace(text, '. ', '😀가. ') AS text, true AS broken FROM documents")
 def utf8_variants(spark, sf_dir):
-    text = damage.substitute(F.col("text"), ". ", "\xed\xa0\xbd\xed\xb8\x80\xea\xb0\x80. ")
-    made = _plain(spark, sf_dir).select("doc_id", text.alias("data"))
+    data = damage.substitute(F.col("data"), ". ", "\xed\xa0\xbd\xed\xb8\x80\xea\xb0\x80. ")
+    made = _bytes(spark, sf_dir).select("doc_id", data.alias("data"))
     return made.select("doc_id", codecs.decode_utf8_variants("data").alias("text"), codecs.decode_utf8_variants(F.concat("data", F.lit("\xc0"))).isNull().alias("broken"))
 
 
-ROUND_TRIPS = (*chars.CANDIDATES, "sloppy-windows-1256", "sloppy-windows-1258")
+#: Bytes, in hexadecimal, that the public standards of the codecs leave without a character.
+WITHOUT_CHARACTER = {
+    "sloppy-windows-1253": "AA D2 FF",
+    "sloppy-windows-1255": "D9 DA DB DC DD DE DF FB FC FF",
+    "sloppy-windows-1257": "A1 A5",
+    "sloppy-iso-8859-3": "A5 AE BE C3 D0 E3 F0",
+    "sloppy-iso-8859-6": "A1 A2 A3 A5 A6 A7 A8 A9 AA AB AE AF B0 B1 B2 B3 B4 B5 B6 B7 B8 B9 BA BC BD BE C0 DB DC DD DE DF F3 F4 F5 F6 F7 F8 F9 FA FB FC FD FE FF",
+    "sloppy-iso-8859-7": "AE D2 FF",
+    "sloppy-iso-8859-8": "A1 BF C0 C1 C2 C3 C4 C5 C6 C7 C8 C9 CA CB CC CD CE CF D0 D1 D2 D3 D4 D5 D6 D7 D8 D9 DA DB DC DD DE FB FC FF",
+}
+ROUND_TRIPS = (*chars.CANDIDATES, *(c for c in chars.EXTRA_CODECS if c.startswith("sloppy-")))
 
 
-@query(f"SELECT doc_id, text || c.codec AS text FROM documents, (VALUES {', '.join(f"('{c}')" for c in ROUND_TRIPS)}) c(codec)")
+@query(
+    f"""
+    SELECT doc_id, CASE WHEN regexp_matches(hex(encode(text)), '^(..)*(' || c.lost || ')') THEN 'lost' ELSE text END || c.codec AS text
+    FROM documents, (VALUES {', '.join(f"('{c}', '{WITHOUT_CHARACTER.get(c, 'none').replace(' ', '|')}')" for c in ROUND_TRIPS)}) c(codec, lost)
+    """
+)
 def codec_round_trips(spark, sf_dir):
-    """UTF-8 read with a codec, encoded with it again, and read as UTF-8: every byte must come back."""
+    """UTF-8 read with a codec, encoded with it again, and read as UTF-8: every byte comes back, but those without a character."""
+    made = docs(spark, sf_dir).select("doc_id", "text")
     each = []
     for codec in ROUND_TRIPS:
-        read = damage.layer(F.col("text"), codec)
-        # A byte without a character can't come back: the text itself stands in for it.
-        back = F.when(F.contains(read, F.lit(chars.REPLACEMENT)), F.col("text")).otherwise(codecs.decode_utf8(codecs.encode(read, codec)))
-        each.append(F.concat(back, F.lit(codec)))
-    return docs(spark, sf_dir).select("doc_id", F.explode(F.array(*each)).alias("text"))
+        back = made.withColumn("back", codecs.decode_utf8(codecs.encode(damage.layer(F.col("text"), codec), codec)))
+        # A byte without a character comes back as another one or not at all.
+        each.append(back.select("doc_id", F.concat(F.when(F.col("back").eqNullSafe(F.col("text")), F.col("back")).otherwise(F.lit("lost")), F.lit(codec)).alias("text")))
+    return reduce(DataFrame.union, each)
 
 
 @query(INTACT)
@@ -294,9 +309,11 @@ def fix_encoding_1252(spark, sf_dir):
     return _layers(spark, sf_dir, "sloppy-windows-1252")
 
 
-@query(f"SELECT doc_id, replace(replace(text, ' t', ' ‘t’'), ' a', ' “a”') AS text FROM {PLAIN}")
+@query("SELECT doc_id, replace(replace(replace(text, ' t', ' ‘t’'), ' a', ' “a”') || chr(10), chr(10), ' “x”' || chr(10)) AS text FROM documents")
 def fix_encoding_1251(spark, sf_dir):
-    made = _plain(spark, sf_dir).select("doc_id", damage.layer(damage.curly(F.col("text")), "sloppy-windows-1251").alias("text"))
+    # A quotation mark at the end of every line: without one, accents read as Cyrillic letters can pass for intact.
+    quoted = F.replace(F.concat(damage.curly(F.col("text")), F.lit("\n")), F.lit("\n"), F.lit(" “x”\n"))
+    made = docs(spark, sf_dir).select("doc_id", damage.layer(quoted, "sloppy-windows-1251").alias("text"))
     return operators.fix_column(made, config=ENCODING_ONLY)
 
 
@@ -305,11 +322,11 @@ def fix_encoding_two_layers(spark, sf_dir):
     return _layers(spark, sf_dir, "sloppy-windows-1252", "sloppy-windows-1252")
 
 
-@query(f"SELECT doc_id, '☃ ' || replace(replace(text, ' e', ' é'), ' t', ' —t') AS text FROM {PLAIN}")
+@query("SELECT doc_id, '☃ ' || replace(replace(text, '. ', '. é '), ', ', ', —t ') AS text FROM documents")
 def decode_inconsistent_utf8(spark, sf_dir):
     # The snowman keeps any one codec from fitting the whole text.
-    text = F.concat(F.lit("☃ "), F.replace(F.replace(F.col("text"), F.lit(" e"), F.lit(" Ã©")), F.lit(" t"), F.lit(" â€”t")))
-    return _plain(spark, sf_dir).select("doc_id", repair.decode_inconsistent_utf8(text).alias("text"))
+    text = F.concat(F.lit("☃ "), F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(". Ã© ")), F.lit(", "), F.lit(", â€”t ")))
+    return docs(spark, sf_dir).select("doc_id", repair.decode_inconsistent_utf8(text).alias("text"))
 
 
 # --- Everything together

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmend.config import DEFAULT, TextFixerConfig
+from lexmend.functions.codecs import decode_binary
 from lexmend.operators.repair import fix_column
 
 
@@ -27,17 +28,36 @@ def read_table(spark: SparkSession, path: str, column: str, kind: str = "parquet
     return frame
 
 
-def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response", "conversion", "resource")) -> DataFrame:
-    """A row for each record of WARC files: type, uri, date, body. Uncompressed files are split at record marks."""
-    records = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).filter(F.length("value") > 0)
+def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response", "conversion", "resource"), version: str = "1.0") -> DataFrame:
+    """A row for each record of WARC files: type, uri, date, data, body, complete.
+
+    ``data`` are the bytes of the body as ``Content-Length`` has them, ``body`` is their text: UTF-8, or
+    where they aren't that, windows-1252, of which every byte comes back. Uncompressed files are split
+    ahead of record marks that follow an empty line; a record is not ``complete`` if its body holds one
+    itself, and so ends before its length.
+    """
+    mark = f"WARC/{version}\r\n"
+    records = spark.read.option("lineSep", f"\r\n\r\n{mark}").text(path)
+    # The text reader keeps bytes as they are; only bytes are counted here.
+    value = F.when(F.startswith("value", F.lit(mark)), F.substring("value", len(mark) + 1, 1 << 30)).otherwise(F.col("value"))
     header = F.substring_index("value", "\r\n\r\n", 1)
-    rest = F.substring("value", F.length(header) + 5, F.length("value"))
-    field = lambda name: F.regexp_extract(header, rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1)
-    parsed = records.select(field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("uri"), field("WARC-Date").alias("date"), rest.alias("rest"))
+    field = lambda name: F.regexp_extract("header", rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1)
+    after = lambda data, head: F.substring(data, F.octet_length(head) + 5, F.octet_length(data))
+    parsed = (
+        records.select(value.alias("value"))
+        .select(header.alias("header"), after(F.col("value").cast("binary"), header).alias("rest"))
+        .select(field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("uri"), field("WARC-Date").alias("date"), field("Content-Length").try_cast("int").alias("length"), "rest")
+        .filter(F.col("type").isin(*types))
+        .withColumn("length", F.coalesce("length", F.octet_length("rest")))
+        .withColumn("complete", F.octet_length("rest") >= F.col("length"))
+        .withColumn("rest", F.substring("rest", F.lit(1), F.col("length")))
+    )
     # A response has headers of its own ahead of the body.
-    inner = F.substring_index("rest", "\r\n\r\n", 1)
-    body = F.when(F.col("type") == "response", F.substring("rest", F.length(inner) + 5, F.length("rest"))).otherwise(F.col("rest"))
-    return parsed.filter(F.col("type").isin(*types)).select("type", "uri", "date", F.regexp_replace(body, r"(?:\r\n)+\z", "").alias("body"))
+    inner = F.substring_index(F.col("rest").cast("string"), "\r\n\r\n", 1)
+    data = F.when(F.col("type") == "response", after(F.col("rest"), inner)).otherwise(F.col("rest"))
+    text = F.col("data").cast("string")
+    body = F.when(F.is_valid_utf8(text), text).otherwise(decode_binary("data", "sloppy-windows-1252"))
+    return parsed.withColumn("data", data).select("type", "uri", "date", "data", body.alias("body"), "complete")
 
 
 def write_texts(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", column: str | None = None, config: TextFixerConfig = DEFAULT) -> None:
