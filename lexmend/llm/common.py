@@ -79,12 +79,17 @@ def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
     return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
+def text_marks() -> tuple[Column, Column]:
+    """r1 and r2, 128 bits together, which only rows that repeat id and text share. Columns id and text."""
+    blank = F.col("id").isNull()
+    return F.xxhash64("id", blank, "text").alias("r1"), F.xxhash64(F.lit("lexmend"), "text", blank, "id").alias("r2")
+
+
 def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, r1, r2, text and key of every row of ``df``: r1 and r2, 128 bits, are shared only by rows that repeat id and text; the key by none."""
+    """id, r1, r2 (see :func:`text_marks`), text and key of every row of ``df``; no two rows share a key."""
     keyed, key = row_keyed(df)
-    blank = F.col("id").isNull()
     rows = keyed.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("key"))
-    return rows.select("id", F.xxhash64("id", blank, "text").alias("r1"), F.xxhash64(F.lit("lexmend"), "text", blank, "id").alias("r2"), "text", "key")
+    return rows.select("id", *text_marks(), "text", "key")
 
 
 def repeated_rows(rows: DataFrame, cut: DataFrame, name: str) -> DataFrame:

@@ -13,14 +13,17 @@ above ``BLOCK`` are split into pairs of blocks. Components come from alternating
 small-star rounds over edge tables in the shared folder.
 
 Defined cases: a text without words (null too) has fingerprint zero, linked like any other.
-Texts shorter than a shingle are one shingle. Repeated rows and null ids each get their row; the
-component id is the smallest id that isn't null. Empty tables give empty results.
+Texts shorter than a shingle are one shingle; long ones are read whole, in blocks of words. Repeated
+rows and null ids each get their row; the component id is the smallest id that isn't null, and null
+where there is none. Bits that are set in exactly half of the hashes are 0. Empty tables give empty
+results. Other columns, of any name, are not read; :func:`drop_near_copies` passes them on.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import comb
 
@@ -31,9 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmend.llm.arrow import slices
-from lexmend.llm.common import drop_staged, staged
+from lexmend.llm.common import drop_staged, staged, text_marks
 
 BITS = 64
+#: Bytes of a text whose words are held at once, and what ends them.
+BLOCK_BYTES, BLANK = 1 << 20, re.compile(rb"[\x09-\x0D\x20]")
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Most fingerprints of a bucket that are searched at once.
@@ -42,34 +47,46 @@ BLOCK = 4096
 PROBE_COST = 40.0
 
 
-def shingle_hashes(text: str | None, n: int) -> list[int]:
-    """Hashes of the word shingles in their order; a text shorter than one is a shingle itself."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not found:
-        return []
-    whole = b" ".join(found)
-    last = np.cumsum([len(w) + 1 for w in found]) - 1
-    first = np.concatenate(([0], last[:-1] + 1)).tolist()
-    ends = last.tolist()
+def shingle_blocks(text: str | None, n: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles in their order, a block of a long text at a time; a text shorter than a shingle is one itself."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+    at, held, some = 0, [], False
     digest = xxhash.xxh64_intdigest
-    if len(found) < n:
-        return [digest(whole, SEED)]
-    return [digest(whole[a:b], SEED) for a, b in zip(first, ends[n - 1 :], strict=False)]
-
-
-def majority(hashes: np.ndarray | list[int]) -> int:
+    while at < len(data):
+        cut = BLANK.search(data, at + BLOCK_BYTES)
+        end = cut.start() if cut else len(data)
+        found = held + data[at:end].split()
+        at = end
+        if len(found) >= n:
+            some = True
+            whole = b" ".join(found)
+            last = np.cumsum([len(w) + 1 for w in found]) - 1
+            first = np.concatenate(([0], last[:-1] + 1)).tolist()
+            yield np.array([digest(whole[a:b], SEED) for a, b in zip(first, last.tolist()[n - 1 :], strict=False)], dtype="<u8")
+        # The next block's first shingles begin with the last words of this one.
+        held = found[-(n - 1) :] if n > 1 else []
+    if held and not some:
+        yield np.array([digest(b" ".join(held), SEED)], dtype="<u8")
+
+
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    parts = list(shingle_blocks(text, n))
+    return np.concatenate(parts) if parts else np.zeros(0, "<u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
     """The bits that more than half of the hashes have."""
-    half, total = len(hashes), np.zeros(BITS, dtype=np.int64)
-    for at in range(0, half, 8192):  # long texts count up in steps
-        part = np.array(hashes[at : at + 8192], dtype="<u8")
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > half, bitorder="little")
-    return int(bits.view("<u8")[0])
+    half, total = 0, np.zeros(BITS, dtype=np.int64)
+    for block in blocks:
+        half += len(block)
+        for at in range(0, len(block), 8192):
+            total += np.unpackbits(block[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > half, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
     """SimHash of the word shingles of one text, as an unsigned number."""
-    return majority(shingle_hashes(text, n))
+    return majority(shingle_blocks(text, n))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
@@ -355,6 +372,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = staged(joined, "simhash-roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     owner = staged(joined.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "simhash-owners")
+    drop_staged(classes)
+    drop_staged(joined)
     return rows.join(owner, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -368,22 +387,23 @@ SECOND = np.uint64(0xBF58476D1CE4E5B9)
 
 def sketch(text: str | None, n: int) -> tuple[int, int, np.ndarray]:
     """Two fingerprints of the set of word shingles, by independent hashes, and the set's sorted hashes."""
-    own = np.unique(np.array(shingle_hashes(text, n), dtype=np.uint64))
+    own = np.unique(shingle_hashes(text, n))
     mixed = (own ^ (own >> np.uint64(30))) * SECOND
-    return majority(own), majority(mixed ^ (mixed >> np.uint64(31))), own
+    return majority([own]), majority([mixed ^ (mixed >> np.uint64(31))]), own
 
 
 def sketches(rows: DataFrame, n: int) -> DataFrame:
-    """One row for each row of ``rows`` (id, row, text): id, row, fp, more and node, the hash of the shingle set."""
+    """One row for each row of ``rows`` (id, r1, r2, text): id, r1, r2, fp, more and node, the hash of the shingle set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(x.as_py(), n) for x in batch.column(2)]
-            columns = ([x for x, _, _ in made], [x for _, x, _ in made], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for _, _, x in made])
-            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed], names=["id", "row", "fp", "more", "node"])
+            made = np.zeros((3, batch.num_rows), dtype=np.uint64)
+            for i, x in enumerate(batch.column(3)):
+                one, two, own = sketch(x.as_py(), n)
+                made[:, i] = one, two, xxhash.xxh64_intdigest(own.tobytes(), SEED)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x.view(np.int64)) for x in made]], names=["id", "r1", "r2", "fp", "more", "node"])
 
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, row long, fp long, more long, node long")
+    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, r1 long, r2 long, fp long, more long, node long")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -414,32 +434,40 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are candidates that a second fingerprint passes within ``slack``, and the ones whose sets of
     ``n``-word shingles have that Jaccard similarity count.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row"), "text")
-    rows = staged(sketches(texts, n) if least_similarity is not None else fingerprints(texts.select(F.struct("id", "row").alias("k"), "text"), "k", "text", n).select("id.id", "id.row", "fp", F.col("fp").alias("node")), "simhash")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", *text_marks(), "text")
+    if least_similarity is None:
+        marked = fingerprints(texts.select(F.struct("id", "r1", "r2").alias("k"), "text"), "k", "text", n)
+        rows = staged(marked.select("id.*", "fp", F.col("fp").alias("more"), F.col("fp").alias("node")), "simhash")
+    else:
+        rows = staged(sketches(texts, n), "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "r1", "r2"))
+    classes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), first.alias("least")), "simhash-classes")
+    held = [rows, classes]
     if least_similarity is None:
-        classes = staged(rows.groupBy("node").agg(first.alias("least")), "simhash-classes")
-        edges = links(classes.select(F.col("node").alias("fp")), distance)
+        edges = links(classes.select("fp"), distance)
     else:
-        classes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), first.alias("least")), "simhash-classes")
         pairs = staged(near_pairs(classes.select("node", "fp", "more"), distance, slack), "simhash-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        holders = staged(wanted.join(classes, "node").select("node", F.col("least.row").alias("_row"), F.col("least.id").alias("_id")), "simhash-holders")
-        held = texts.join(holders, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
-        sets = staged(shingle_sets(held, n).dropDuplicates(["node"]), "simhash-sets")
+        holders = staged(wanted.join(classes, "node").select("node", F.col("least.r1").alias("h1"), F.col("least.r2").alias("h2")), "simhash-holders")
+        own = texts.join(holders, (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2"))).select("node", "text")
+        sets = staged(shingle_sets(own, n).dropDuplicates(["node"]), "simhash-sets")
         edges = similar(pairs, sets, least_similarity)
-    roots = classes.join(components(edges).withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    kept = roots.groupBy("root").agg(F.min("least").alias("least"))
+        held += [pairs, holders, sets]
+    found = components(edges)
+    roots = classes.join(found.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    kept = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r1").alias("k1"), F.col("least.r2").alias("k2"))
     # A row of each id and text, and whether there are more of it.
-    marks = rows.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"))
-    marks = marks.join(kept.select(F.col("least.id").alias("_id"), F.col("least.row").alias("_row")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    gone = staged(marks.select(F.col("id").alias("_gone"), F.col("row").alias("_gone_row"), F.col("_row").isNotNull().alias("_stays"), "n").filter("not _stays or n > 1"), "simhash-gone")
+    marks = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).join(kept, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2")), "left")
+    gone = staged(marks.select(F.col("r1").alias("g1"), F.col("r2").alias("g2"), F.col("k1").isNotNull().alias("stays"), "n").filter("not stays or n > 1"), "simhash-gone")
+    for table in (*held, found):
+        drop_staged(table)
     names = [f"_c{i}" for i in range(len(df.columns))]
     at = dict(zip(df.columns, names, strict=True))
-    flat, back = df.toDF(*names), [F.col(x).alias(c) for c, x in at.items()]
-    same = F.col(at[id_col]).eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(at[text_col]).cast("string")) == F.col("_gone_row"))
-    single = flat.join(gone, same, "left_anti").select(*back)
-    if gone.filter("_stays").isEmpty():
+    back = [F.col(x).alias(c) for c, x in at.items()]
+    marked = df.toDF(*names).withColumn("id", F.col(at[id_col])).withColumn("text", F.col(at[text_col]).cast("string")).select(*names, *text_marks())
+    same = (F.col("r1") == F.col("g1")) & (F.col("r2") == F.col("g2"))
+    single = marked.join(gone, same, "left_anti").select(*back)
+    if gone.filter("stays").isEmpty():
         return single
-    again = flat.join(gone.filter("_stays"), same).dropDuplicates(["_gone", "_gone_row"]).select(*back)
+    again = marked.join(gone.filter("stays"), same).dropDuplicates(["g1", "g2"]).select(*back)
     return single.union(again)

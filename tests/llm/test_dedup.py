@@ -83,6 +83,19 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint("One Two") == xxhash.xxh64_intdigest(b"one two", seed=42)
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_shingles_of_long_texts_in_blocks(monkeypatch, n):
+    import xxhash
+
+    rng = random.Random(3)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 7)
+    for _ in range(300):
+        text = "".join(rng.choice("abÄ \n\t") for _ in range(rng.randint(0, 60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        want = [" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, bool(words)))]
+        assert simhash.shingle_hashes(text, n).tolist() == [xxhash.xxh64_intdigest(x.encode(), 42) for x in want]
+
+
 def test_simhash_components(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
@@ -134,10 +147,13 @@ def test_components_of_a_long_chain(spark):
 
 def test_drop_near_copies(spark):
     text = " ".join(f"w{i}" for i in range(200))
-    df = frame(spark, [(9, text), (3, text), (5, text + " tail"), (11, "else entirely different words here")]).withColumn("fp", F.lit("clash"))
+    rows = [(9, text), (3, text), (5, text + " tail"), (11, "else entirely different words here"), (12, None), (13, " "), (14, "")]
+    df = frame(spark, rows).withColumn("fp", F.lit("clash")).withColumn("r1", F.lit("clash")).withColumn("id", F.lit(1)).withColumn("node", F.lit(2))
     got = simhash.drop_near_copies(df)
-    assert got.columns == df.columns
-    assert sorted(r["doc_id"] for r in got.collect()) == [3, 11] or sorted(r["doc_id"] for r in got.collect()) == [3, 5, 11]
+    assert got.columns == df.columns and {r["r1"] for r in got.collect()} == {"clash"}
+    want = brute_components([(i, simhash.fingerprint(t)) for i, t in rows])
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({want[simhash.fingerprint(t)] for _, t in rows})
+    assert (simhash.fingerprint(text) ^ simhash.fingerprint(text + " tail")).bit_count() <= 3
 
 
 def in_order(rows):
