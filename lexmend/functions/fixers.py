@@ -151,8 +151,17 @@ def unescape_html(c: ColumnOrName) -> Column:
         own = F.try_element_at(table, F.concat(F.substring(e, 2, 1), F.length(e).cast("string")))
         return F.coalesce(F.try_element_at(own, e), e)
 
+    value = lambda e: F.when(F.startswith(e, F.lit("&#")), number(e)).otherwise(named(e))
     found = F.regexp_extract_all(text, F.lit(f"({chars.ENTITY})"), F.lit(1))
-    done = F.transform(found, lambda e: F.when(F.startswith(e, F.lit("&#")), number(e)).otherwise(named(e)))
+    pairs = F.transform(F.array_distinct(found), lambda e: F.struct(e.alias("e"), value(e).alias("v")))
+
+    def replaced(known: Column) -> Column:
+        """One reference after the other, each looked up once: as good as all at once if no character that replaces one can be part of another."""
+        ampersand = lambda p: p["v"] == "&"
+        apart = F.forall(known, lambda p: ampersand(p) | (p["v"] == p["e"]) | ~p["v"].rlike("[0-9A-Za-z#;&]")) & (F.size(F.filter(known, ampersand)) < 2)
+        order = F.concat(F.filter(known, lambda p: ~ampersand(p)), F.filter(known, ampersand))
+        return F.when(apart, F.aggregate(order, text, lambda t, p: F.replace(t, p["e"], p["v"])))
+
     between = F.split(text, chars.ENTITY)
-    joined = F.array_join(F.flatten(F.zip_with(between, done, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return F.when(text.rlike(chars.ENTITY), joined).otherwise(text)
+    joined = F.array_join(F.flatten(F.zip_with(between, F.transform(found, value), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(F.contains(text, F.lit("&")) & text.rlike(chars.ENTITY), F.coalesce(bind(pairs, replaced), joined)).otherwise(text)

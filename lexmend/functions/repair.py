@@ -53,24 +53,34 @@ def entity_part(c: ColumnOrName, config: TextFixerConfig, whole: bool) -> Column
     return text if config.unescape_html else None
 
 
+def touched(c: ColumnOrName, config: TextFixerConfig = DEFAULT) -> Column:
+    """Whether the text holds a character that some fixer may change wherever it stands."""
+    text = col(c)
+    plain, others = _touching(config)
+    some = text.rlike(plain) if plain is not None else F.lit(False)
+    if others is not None:
+        some = some | (~detect.is_ascii(text) & text.rlike(others))
+    return some | F.contains(text, F.lit("\x1b["))
+
+
 def untouched(c: ColumnOrName, config: TextFixerConfig = DEFAULT, whole: bool = False) -> Column:
     """True only if no fixer changes the text and it records no step."""
     text = col(c)
     ok, ascii_only = F.lit(True), detect.is_ascii(text)
     plain, others = _touching(config)
+    if (part := entity_part(text, config, whole)) is not None:
+        ok = ok & (~F.contains(text, F.lit("&")) | ~part.rlike(chars.ENTITY))
     if plain is not None:
         ok = ok & ~text.rlike(plain)
-    if others is not None:
-        ok = ok & (ascii_only | ~text.rlike(others))
     if config.remove_terminal_escapes and not config.remove_control_chars:
         ok = ok & ~F.contains(text, F.lit("\x1b["))
-    if (part := entity_part(text, config, whole)) is not None:
-        ok = ok & (~F.contains(text, F.lit("&")) | ~part.rlike(chars.ENTITY))
-    if config.fix_encoding:
-        ok = ok & ~detect.may_be_bad(text)
-        if not whole:
-            # A cut inside a line makes a new start of a segment, where other sequences are bad.
-            ok = ok & ((F.octet_length(text) <= config.max_decode_length) | ascii_only)
+    # Texts beyond ASCII are gone through once, for characters that fixers change and for sequences that are bad.
+    beyond = [p for p in (others, patterns.MAY_BE_BAD if config.fix_encoding else None) if p is not None]
+    if beyond:
+        ok = ok & (ascii_only | ~text.rlike(f"(?=[^\\x00-\\x7F])(?:{'|'.join(beyond)})"))
+    if config.fix_encoding and not whole:
+        # A cut inside a line makes a new start of a segment, where other sequences are bad.
+        ok = ok & ((F.octet_length(text) <= config.max_decode_length) | ascii_only)
     return ok
 
 

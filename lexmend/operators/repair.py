@@ -52,7 +52,8 @@ def fix_column(df: DataFrame, column: str = "text", output: str | None = None, c
     made = (
         flat.withColumn("_same", F.coalesce(repair.untouched(text, config), F.lit(True)))
         .withColumn("_u", F.when(~F.col("_same") & whole_lines, unescaped))
-        .withColumn("_r", F.when(~bad, one_round(F.col("_u"), config)))
+        # Most texts hold no character that these fixers change: one look spares a pass for each.
+        .withColumn("_r", F.when(~bad, F.when(repair.touched("_u", config), one_round(F.col("_u"), config)).otherwise(F.col("_u"))))
     )
     if config.normalization:
         made = made.withColumn("_r", fixers.normalize("_r", config.normalization))
