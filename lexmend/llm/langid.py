@@ -139,8 +139,11 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the product of the logistic margins of the family and of the language inside it."""
-        ready = [prepared(t) for t in texts]
-        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        return self.predict_prepared([prepared(t) for t in texts])
+
+    def predict_prepared(self, ready: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """:meth:`predict` of texts that went through :func:`prepared`."""
+        langs, scores = ["und"] * len(ready), np.zeros(len(ready))
         if not self.families:
             return langs, scores
         chance = 1 / (1 + np.exp(-np.clip(self.margins(ready) * self.scales, -30, 30)))
@@ -283,7 +286,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     """One row for each row of ``df``: id, lang_pred, score. Only the text decides."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
@@ -296,10 +299,11 @@ def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text", leas
     at = df.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).cast(pa.string()).to_pylist()
-            langs, scores = model.predict(texts)
-            fits = np.zeros(len(texts)) if least_fit is None else model.fits([prepared(t) for t in texts])
+            ready = [prepared(t) for t in texts]
+            langs, scores = model.predict_prepared(ready)
+            fits = np.zeros(len(texts)) if least_fit is None else model.fits(ready)
             yield batch.filter(pa.array([x != "und" and s >= least_score and (least_fit is None or f >= least_fit) for x, s, f in zip(langs, scores, fits.tolist(), strict=True)], pa.bool_()))
 
     return df.mapInArrow(each, df.schema)
