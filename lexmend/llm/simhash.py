@@ -43,8 +43,8 @@ SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Most fingerprints of a bucket that are searched at once.
 BLOCK = 4096
-#: Cost of one probe (a row written, shuffled and sorted) in units of one verified candidate.
-PROBE_COST = 40.0
+#: Cost of one probe (a row written, shuffled and sorted: 4 microseconds) in units of one verified candidate (2 nanoseconds).
+PROBE_COST = 2000.0
 
 
 def shingle_blocks(text: str | None, n: int) -> Iterator[np.ndarray]:
@@ -189,7 +189,7 @@ def plan_parts(fps: DataFrame, distance: int, choices: tuple[int, ...] = (2, 3,
             base = max(exact.get(every.index(part), 0.0), 0.5 * n * n * float(np.prod(1 - differ[list(part.bits)])))
             shells = np.poly(-odds[list(part.bits)])  # elementary symmetric sums: pairs by distance inside the part
             row = {-1: 0.0}
-            for t in range(min(distance, len(part.bits)) + 1):
+            for t in range(min(distance, len(part.bits) // 2) + 1):  # half of a part's bits stay in its keys
                 probes = comb(len(part.bits), t)
                 row[t] = base * float(shells[: t + 1].sum()) + PROBE_COST * n * probes
             cost.append(row)
@@ -221,6 +221,25 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]
     return edges
 
 
+def nearest_forest(fps: np.ndarray, more: np.ndarray, group: np.ndarray, distance: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of least total distance of the candidates of one bucket whose groups differ, as pairs of places: likelier than others to be made of true links."""
+    far = 255
+    best, parent = np.full(len(fps), far, np.uint8), np.zeros(len(fps), np.int64)
+    open_, x, edges = np.arange(1, len(fps)), 0, []
+    while len(open_):
+        one, two = np.bitwise_count(fps[open_] ^ fps[x]), np.bitwise_count(more[open_] ^ more[x])
+        now = np.where((one <= distance) & (two <= slack) & (group[open_] != group[x]), one + two, far)
+        closer = now < best[open_]
+        best[open_[closer]], parent[open_[closer]] = now[closer], x
+        j = int(np.argmin(best[open_]))
+        x = int(open_[j])
+        if best[x] < far:
+            edges.append((parent[x], x))
+        open_[j] = open_[-1]
+        open_ = open_[:-1]
+    return tuple(np.array(edges, np.int64).reshape(-1, 2).T)
+
+
 SMALL = 12
 
 
@@ -244,20 +263,25 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def dealt(rows: DataFrame, block: int, salt: str) -> DataFrame:
+    """``rows`` (key and others) by key, sorted by it; keys of more than ``block`` rows are dealt out as pairs of blocks, by a hash of ``salt``."""
+    hot = staged(rows.groupBy("key").count().filter(F.col("count") > block).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "simhash-hot")
+    own = F.pmod(F.xxhash64(salt, F.lit(SEED)), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+    rest = [c for c in rows.columns if c != "key"]
+    paired = (
+        rows.join(hot, F.col("key") == F.col("hot_key"), "left")
+        .select("key", *rest, F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *rest)
+    )
+    return paired.repartition("key").sortWithinPartitions("key")
+
+
 def dealt_probes(fps: DataFrame, masks: list[int], *more: str) -> DataFrame:
     """Rows (key, fp, *more) of every mask, sorted by key; keys above ``BLOCK`` are dealt out as pairs of blocks."""
     # The mask's number is part of the key: equal values under two masks are different buckets.
     key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
-    probes = fps.select(key.alias("key"), "fp", *more)
-    hot = staged(probes.groupBy("key").count().filter(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-hot")
-    own = F.pmod(F.xxhash64(*(more or ("fp",)), F.lit(SEED)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-    dealt = (
-        probes.join(hot, F.col("key") == F.col("hot_key"), "left")
-        .select("key", "fp", *more, F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", *more)
-    )
-    return dealt.repartition("key").sortWithinPartitions("key")
+    return dealt(fps.select(key.alias("key"), "fp", *more), BLOCK, more[-1] if more else "fp")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -292,43 +316,103 @@ def links(fps: DataFrame, distance: int = 3, parts: list[Part] | None = None) ->
     return dealt_probes(fps, masks).mapInArrow(search, "a long, b long").filter("a <> b").distinct()
 
 
-def bucket_pairs(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, distance: int, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs inside runs of equal keys within ``distance`` in ``fps`` and ``slack`` in ``more``."""
+def bucket_forest(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, group: np.ndarray, distance: int, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs inside runs of equal keys, within ``distance`` in ``fps`` and ``slack`` in ``more``, of different groups: all of small runs, a spanning forest of larger ones."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     for d in range(1, min(SMALL, len(keys))):
         at = np.flatnonzero(small[:-d] & (keys[:-d] == keys[d:]))
         at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= distance]
+        at = at[(np.bitwise_count(more[at] ^ more[at + d]) <= slack) & (group[at] != group[at + d])]
         yield at, at + d
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        own = fps[s : s + n]
+        # Rows without a candidate are left out of the forest's steps.
+        some = np.zeros(n, bool)
+        own, other, part = fps[s : s + n], more[s : s + n], group[s : s + n]
         for i in range(0, n, 256):
             a, b = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= distance)
-            far = b > a
-            yield s + i + a[far], s + i + b[far]
-
-
-def near_pairs(classes: DataFrame, distance: int, slack: int, parts: list[Part] | None = None) -> DataFrame:
-    """All pairs (a, b), a < b, of nodes within ``distance`` in fp and ``slack`` in more; ``classes`` has node, fp, more."""
+            fits = (b > a) & (part[i + a] != part[i + b])
+            a, b = i + a[fits], i + b[fits]
+            fits = np.bitwise_count(other[a] ^ other[b]) <= slack
+            some[a[fits]] = some[b[fits]] = True
+        place = np.flatnonzero(some)
+        if len(place):
+            a, b = nearest_forest(own[place], other[place], part[place], distance, slack)
+            yield s + place[a], s + place[b]
+
+
+def near_forest(classes: DataFrame, distance: int, slack: int, parts: list[Part]) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups within ``distance`` in fp and ``slack`` in more: as many as join in every bucket what all such pairs join. ``classes`` has node, fp, more, root (the group)."""
     spark = classes.sparkSession
-    if parts is None:
-        # Wide distances ask for more parts than narrow ones; the allocator compares them.
-        parts = plan_parts(classes.select("fp"), distance, tuple(range(2, min(distance + 1, 10) + 1)))
     masks = probe_masks(parts)
     if not masks:
         return spark.createDataFrame([], "a long, b long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, f, m, node in whole_runs(batches):
-            f, m = f.view(np.uint64), m.view(np.uint64)
-            for at, to in bucket_pairs(k, f, m, distance, slack):
-                near = np.bitwise_count(m[at] ^ m[to]) <= slack
-                a, b = node[at[near]], node[to[near]]
+        for k, f, m, group, node in whole_runs(batches):
+            for at, to in bucket_forest(k, f.view(np.uint64), m.view(np.uint64), group, distance, slack):
+                a, b = node[at], node[to]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt_probes(classes, masks, "more", "node").mapInArrow(search, "a long, b long").filter("a <> b").distinct()
+    return dealt_probes(classes.select("fp", "more", "root", "node"), masks, "more", "root", "node").mapInArrow(search, "a long, b long").filter("a <> b").distinct()
+
+
+def similar_forest(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], least_similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes with that Jaccard similarity which join what isn't joined yet; nodes of one group are."""
+    root = {g: g for g in groups.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    ends = np.searchsorted(number[order], np.arange(number.max() + 2))
+    held, first, out = owner[order], np.concatenate(([0], np.cumsum(sizes))), []
+    for i in range(len(sets)):
+        own = number[first[i] : first[i + 1]]
+        # Owners of all shingles of this set, once for each.
+        spans = ends[own + 1] - ends[own]
+        at = np.repeat(ends[own] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
+        shared = np.bincount(held[at], minlength=len(sets))
+        for j in np.flatnonzero(shared >= least_similarity * (sizes + sizes[i] - shared)).tolist():
+            a, b = find(int(groups[i])), find(int(groups[j]))
+            if a != b:
+                root[a] = b
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+#: Most sets that are compared at once.
+SET_BLOCK = 1024
+
+
+def verified(members: DataFrame, least_similarity: float) -> DataFrame:
+    """Edges (a, b) that join the groups of ``members`` (key, node, root, shingles) of one key as all pairs with that similarity do."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+            found = similar_forest(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows], least_similarity) if len(rows) > 1 else []
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        for batch in batches:
+            for key, node, root, own in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if held and held[0][0] != key:
+                    yield edges(held)
+                    held = []
+                held.append((key, node, root, own.values.to_numpy()))
+        if held:
+            yield edges(held)
+
+    return dealt(members.select("key", "node", "root", "shingles"), SET_BLOCK, "node").mapInArrow(each, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -426,6 +510,45 @@ def similar(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> DataF
     return joined.filter(shared >= F.lit(least_similarity) * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
+def similar_components(classes: DataFrame, texts: DataFrame, n: int, distance: int, slack: int, least_similarity: float) -> DataFrame:
+    """Components (node, root) of the links of that similarity among ``classes`` (node, fp, more, least), whose texts are in ``texts`` (r1, r2, text).
+
+    First, a spanning forest of the candidates in each bucket of a search for half the distance is verified: it joins most of what
+    belongs together, groups of copies above all, by as many pairs as they have members. Then all candidates between what is
+    still apart are searched: those within ``distance`` by the first fingerprint, and those by the second; either way the other one
+    passes them within ``slack``. Of these, too, a forest is kept, whose components hold every candidate pair; the sets of each are
+    compared in one place, in pairs of blocks above ``SET_BLOCK``. So nothing is paired off but in memory.
+    """
+
+    def plan(column: str, within: int) -> list[Part]:
+        # Wide distances ask for more parts than narrow ones; the allocator compares them. Parts of fewer than eight bits filter too little.
+        return plan_parts(classes.select(F.col(column).alias("fp")), within, tuple(range(2, min(within + 1, 8) + 1)))
+
+    def shingled(wanted: DataFrame) -> DataFrame:
+        holders = wanted.join(classes, "node").select("node", F.col("least.r1").alias("h1"), F.col("least.r2").alias("h2"))
+        return shingle_sets(texts.join(holders, (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2"))).select("node", "text"), n).dropDuplicates(["node"])
+
+    single = classes.select("node", "fp", "more", F.col("node").alias("root"))
+    pairs = staged(near_forest(single, distance, slack, plan("fp", distance // 2)), "simhash-pairs")
+    sets = staged(shingled(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), "simhash-sets")
+    near = staged(similar(pairs, sets, least_similarity), "simhash-similar")
+    joined = components(near)
+    grouped = classes.join(joined.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
+    grouped = staged(grouped, "simhash-grouped")
+    swapped = grouped.select("node", F.col("more").alias("fp"), F.col("fp").alias("more"), "root")
+    apart = near_forest(grouped, distance, slack, plan("fp", distance)).union(near_forest(swapped, distance, slack, plan("more", distance)))
+    places = components(apart)
+    # A component's root has no row of its own.
+    keys = places.select("node", F.col("root").alias("key")).union(places.select(F.col("root").alias("node"), F.col("root").alias("key")).distinct())
+    keys = staged(keys, "simhash-keys")
+    members = shingled(keys.select("node")).join(keys, "node").join(grouped.select("node", "root"), "node")
+    more = staged(verified(staged(members, "simhash-members"), least_similarity), "simhash-more")
+    found = components(near.union(more))
+    for table in (pairs, sets, near, joined, grouped, places, keys, more):
+        drop_staged(table)
+    return found
+
+
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, n: int = 3, least_similarity: float | None = None, slack: int = 20) -> DataFrame:
     """One row of ``df`` for each component, with all its columns: that with the smallest id, null ids last.
 
@@ -444,16 +567,9 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), first.alias("least")), "simhash-classes")
     held = [rows, classes]
     if least_similarity is None:
-        edges = links(classes.select("fp"), distance)
+        found = components(links(classes.select("fp"), distance))
     else:
-        pairs = staged(near_pairs(classes.select("node", "fp", "more"), distance, slack), "simhash-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        holders = staged(wanted.join(classes, "node").select("node", F.col("least.r1").alias("h1"), F.col("least.r2").alias("h2")), "simhash-holders")
-        own = texts.join(holders, (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2"))).select("node", "text")
-        sets = staged(shingle_sets(own, n).dropDuplicates(["node"]), "simhash-sets")
-        edges = similar(pairs, sets, least_similarity)
-        held += [pairs, holders, sets]
-    found = components(edges)
+        found = similar_components(classes, texts, n, distance, slack, least_similarity)
     roots = classes.join(found.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     kept = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r1").alias("k1"), F.col("least.r2").alias("k2"))
     # A row of each id and text, and whether there are more of it.

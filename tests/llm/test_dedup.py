@@ -357,3 +357,99 @@ def test_near_copies_go_by_row(spark, settings):
     nulls = [(None, text), (None, text + " tail"), (None, own[4])]
     assert len(simhash.drop_near_copies(frame(spark, nulls), **settings).collect()) == 2
     assert simhash.drop_near_copies(frame(spark, rows).limit(0), **settings).count() == 0
+
+
+def test_groups_of_near_copies_are_not_paired_off(spark, monkeypatch):
+    """A group of copies is joined by about as many pairs as it has members; links between groups are all looked at."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    rows = []
+    for size in (150, 40, 1, 1, 3):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    # A chain, each text like the next one alone.
+    words = [f"w{i}" for i in range(300)]
+    rows += [(1000 - i, " ".join(words[i * 8 : i * 8 + 150])) for i in range(10)]
+    made = {}
+
+    def counted(df, name, f=simhash.staged):
+        out = f(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 30)
+    monkeypatch.setattr(simhash, "SET_BLOCK", 20)
+    got = simhash.drop_near_copies(frame(spark, rows), distance=14, n=5, least_similarity=0.8)
+    assert {r["doc_id"] for r in got.collect()} == brute_similar(rows)
+    assert made["simhash-pairs"][0] < 3000 and made["simhash-keys"][0] <= 205 and made["simhash-more"][0] < 1000
+
+
+def test_similar_forest():
+    """Edges that join what all similar pairs join, and no others."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 30, int(rng.integers(1, 25)))) for _ in range(int(rng.integers(2, 25)))]
+        groups = rng.integers(0, 8, len(sets))
+        edges = simhash.similar_forest(np.arange(len(sets)), groups, sets, 0.6)
+        alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))
+        assert all(alike(i, j) for i, j in edges)
+
+        def joined(pairs, groups=groups):
+            root = {int(g): int(g) for g in groups}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i, j in pairs:
+                root[find(int(groups[i]))] = find(int(groups[j]))
+            return [[find(int(a)) == find(int(b)) for b in groups] for a in groups]
+
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if alike(i, j)]
+        assert joined(edges) == joined(every) and len(edges) < len(set(groups.tolist()))
+
+
+def test_nearest_forest():
+    """As many edges as components ask for, and of least total distance."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(2, 30))
+        base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+        flips = lambda: np.array([sum(1 << int(b) for b in set(rng.integers(0, 64, int(rng.integers(0, 7))))) for _ in range(n)], dtype=np.uint64)
+        fps, more = base[0] ^ flips(), base[1] ^ flips()
+        weight = {(i, j): int(np.bitwise_count(fps[i] ^ fps[j])) + int(np.bitwise_count(more[i] ^ more[j])) for i in range(n) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]) <= 5 and np.bitwise_count(more[i] ^ more[j]) <= 6}
+        root, want = list(range(n)), []
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for (i, j), w in sorted(weight.items(), key=lambda x: x[1]):
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                want.append(w)
+        a, b = simhash.nearest_forest(fps, more, np.arange(n), 5, 6)
+        assert sorted(weight[max(i, j), min(i, j)] for i, j in zip(a.tolist(), b.tolist(), strict=True)) == sorted(want)
+
+
+def brute_similar(rows):
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(rows):
+        for j, b in rows[:n]:
+            if jaccard(a, b) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {find(i) for i, _ in rows}
