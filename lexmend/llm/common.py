@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BREAKS = "\t\n\x0b\x0c\r"
 
 
+#: Paths that were written inside the innermost :func:`scratch`.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -26,16 +33,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmend/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (held := _scratch.get()) is not None:
+        held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_staged_at"] = path
+    return out
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a frame from :func:`staged` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    known = df.__dict__.get("_staged_at")
+    for folder in [known] if known else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were staged inside: for results that are written by then."""
+    mark = _scratch.set([])
+    try:
+        yield
+    finally:
+        held = _scratch.get()
+        _scratch.reset(mark)
+        for path in held:
+            delete(spark, path)
 
 
 def as_text(col: Column) -> Column:

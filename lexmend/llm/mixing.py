@@ -57,7 +57,7 @@ def uniform(id_col: Column, text: Column, seed: int) -> Column:
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
-    """Targets from (source, source_size): the catalogue of sources, one row for each.
+    """``sizes`` (source, source_size and others), the catalogue of sources, one row for each, with the target of each.
 
     Sources in order of code points, null last, weigh 1 to ``cycle``, repeating.
     """
@@ -72,7 +72,7 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> Dat
     level = (F.sum("source_size").over(whole).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     filled = capped.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
     water = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("weight")).alias("fill"), F.col("level").alias("level")))).over(whole)["level"]
-    return filled.select("source", "source_size", F.least(F.col("cap"), water * F.col("weight")).alias("target"))
+    return filled.select(*sizes.columns, F.least(F.col("cap"), water * F.col("weight")).alias("target"))
 
 
 def _found(words: DataFrame, left: DataFrame, range_col: str) -> DataFrame:
@@ -185,23 +185,27 @@ def _closing(scored: DataFrame, cuts: DataFrame) -> DataFrame:
         rest = open_.join(state, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("fine") > F.col("last"))).withColumn("done", F.col("now"))
         was, open_ = open_, staged(rest.filter(fits).select(*columns), "mix-open")
         drop_staged(was)
-    return staged(reduce(DataFrame.union, found), "mix-closing")
+    keys = staged(reduce(DataFrame.union, found), "mix-closing")
+    for held in (open_, *found[1:]):
+        drop_staged(held)
+    return keys
 
 
 def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, prefer_col: str | None, key_col: str, max_repeat: int, cycle: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows without texts, a row for each source with its target and cut, and the keys of the documents that close gaps."""
     size = n_words(F.col(text_col))
     base = staged(_rows(df, id_col, text_col, source_col, prefer_col, key_col, seed, size.alias("size")).withColumn("some", F.col("size") > 0), "mix-base")
-    sizes = staged(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("pull")), "mix-sources")
-    targets = source_targets(sizes.select("source", "source_size"), max_repeat, cycle).withColumnRenamed("source", "t_source")
-    targets = staged(targets.join(sizes.select(F.col("source").alias("s_source"), "pull"), F.col("t_source").eqNullSafe(F.col("s_source"))).drop("s_source"), "mix-targets")
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("pull"))
+    targets = staged(source_targets(sizes, max_repeat, cycle).withColumnRenamed("source", "t_source"), "mix-targets")
     scored = _scored(base, targets, max_repeat)
     # The certain copies of a source follow from its size.
     sure = F.floor(F.least(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(float(max_repeat)))) * F.col("source_size")
     left = targets.select(F.col("t_source").alias("l_source"), (F.col("target") - sure).alias("left"), F.lit(0).cast("long").alias("ahead"))
-    cuts = targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source"))).join(_first_cut(scored, left), F.col("t_source").eqNullSafe(F.col("x_source")), "left")
+    first = _first_cut(scored, left)
+    cuts = targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source"))).join(first, F.col("t_source").eqNullSafe(F.col("x_source")), "left")
     cuts = staged(cuts.select("t_source", "source_size", "target", "pull", "left", "cut_range", "cut", "done"), "mix-cuts")
-    drop_staged(sizes)
+    for held in (targets, first):
+        drop_staged(held)
     return base, cuts, _closing(_scored(base, cuts, max_repeat), cuts)
 
 
