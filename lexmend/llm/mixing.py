@@ -67,9 +67,10 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> Dat
     # Sources fill up in the order of cap over weight; the level is that of the first that doesn't.
     by_fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_fill.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
+    # What is left for this source and those after it, over their weights, which are whole numbers: a frame up to the end would be summed up for every row.
+    ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    level = (F.sum("source_size").over(whole).cast("double") - ahead("cap")) / (F.sum("weight").over(whole) - ahead("weight"))
     filled = capped.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
     water = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("weight")).alias("fill"), F.col("level").alias("level")))).over(whole)["level"]
     return filled.select(*sizes.columns, F.least(F.col("cap"), water * F.col("weight")).alias("target"))
