@@ -1,9 +1,9 @@
 """The whole repair as column functions.
 
-:func:`untouched` is a test of built-in expressions that is true only of texts that no fixer can
-change. All other texts go to the kernel, null-masked, so that a clean corpus never leaves the JVM.
-The frame operators in :mod:`lexmend.operators.repair` keep more of the work there: they fix texts
-without wrong decoding by built-in expressions as well.
+:func:`untouched` is a cheap test of built-in expressions that is true only of texts that no fixer
+can change: of ASCII texts without control characters and the like. All other texts go to the
+kernel, null-masked. Patterns over texts beyond ASCII take Java longer than the whole repair takes
+the kernel, so there is no test of these ahead of it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexmend import chars, kernel, patterns
 from lexmend.config import DEFAULT, TextFixerConfig
-from lexmend.functions import detect, fixers
+from lexmend.functions import detect
 from lexmend.functions.fixers import ColumnOrName, col
 from lexmend.functions.pieces import before_angle
 
@@ -24,25 +24,14 @@ EXPLAINED = "struct<text:string,steps:array<struct<transformation:string>>>"
 
 
 @cache
-def _touching(config: TextFixerConfig) -> tuple[str | None, str | None]:
-    """Patterns of the characters that some fixer changes wherever they stand: those of ASCII, and all others."""
+def _touching(config: TextFixerConfig) -> str | None:
+    """Pattern of the ASCII characters that some fixer changes wherever they stand."""
     held: set[int] = set()
-    if config.fix_c1_controls:
-        held.update(map(ord, chars.C1))
-    if config.fix_latin_ligatures:
-        held.update(map(ord, chars.LIGATURES))
-    if config.fix_character_width:
-        held.update(map(ord, chars.WIDTHS))
-    if config.uncurl_quotes:
-        held.update(map(ord, chars.DOUBLE_QUOTES + chars.SINGLE_QUOTES))
     if config.fix_line_breaks:
-        held.update(map(ord, "\r\x85\u2028\u2029"))
+        held.add(ord("\r"))
     if config.remove_control_chars:
-        held.update(x for a, b in chars.CONTROLS for x in range(a, b + 1))
-    if config.normalization:
-        held |= fixers.unsettled(config.normalization)
-    plain = {x for x in held if x < 0x80}
-    return patterns.char_set(plain) if plain else None, patterns.beyond_ascii(held - plain) if held - plain else None
+        held.update(x for a, b in chars.CONTROLS for x in range(a, b + 1) if x < 0x80)
+    return patterns.char_set(held) if held else None
 
 
 def entity_part(c: ColumnOrName, config: TextFixerConfig, whole: bool) -> Column | None:
@@ -53,34 +42,16 @@ def entity_part(c: ColumnOrName, config: TextFixerConfig, whole: bool) -> Column
     return text if config.unescape_html else None
 
 
-def touched(c: ColumnOrName, config: TextFixerConfig = DEFAULT) -> Column:
-    """Whether the text holds a character that some fixer may change wherever it stands."""
-    text = col(c)
-    plain, others = _touching(config)
-    some = text.rlike(plain) if plain is not None else F.lit(False)
-    if others is not None:
-        some = some | (~detect.is_ascii(text) & text.rlike(others))
-    return some | F.contains(text, F.lit("\x1b["))
-
-
 def untouched(c: ColumnOrName, config: TextFixerConfig = DEFAULT, whole: bool = False) -> Column:
-    """True only if no fixer changes the text and it records no step."""
+    """True only if no fixer changes the text and it records no step: of ASCII texts without what is changed there."""
     text = col(c)
-    ok, ascii_only = F.lit(True), detect.is_ascii(text)
-    plain, others = _touching(config)
+    ok = detect.is_ascii(text)
     if (part := entity_part(text, config, whole)) is not None:
         ok = ok & (~F.contains(text, F.lit("&")) | ~part.rlike(chars.ENTITY))
-    if plain is not None:
-        ok = ok & ~text.rlike(plain)
     if config.remove_terminal_escapes and not config.remove_control_chars:
         ok = ok & ~F.contains(text, F.lit("\x1b["))
-    # Texts beyond ASCII are gone through once, for characters that fixers change and for sequences that are bad.
-    beyond = [p for p in (others, patterns.MAY_BE_BAD if config.fix_encoding else None) if p is not None]
-    if beyond:
-        ok = ok & (ascii_only | ~text.rlike(f"(?=[^\\x00-\\x7F])(?:{'|'.join(beyond)})"))
-    if config.fix_encoding and not whole:
-        # A cut inside a line makes a new start of a segment, where other sequences are bad.
-        ok = ok & ((F.octet_length(text) <= config.max_decode_length) | ascii_only)
+    if (plain := _touching(config)) is not None:
+        ok = ok & ~text.rlike(plain)
     return ok
 
 

@@ -57,9 +57,13 @@ def bodies() -> dict[str, tuple[str, str]]:
 
 
 def _untouched(config: TextFixerConfig) -> str:
-    part = "t" if config.unescape_html else "''"
-    tests = [f"NOT coalesce({part} RLIKE {quoted(chars.ENTITY)}, false)", f"NOT (t RLIKE {quoted(patterns.NON_ASCII)} AND t RLIKE {quoted(patterns.MAY_BE_BAD)})", f"octet_length(t) <= {config.max_decode_length}"]
-    tests += [f"NOT t RLIKE {quoted(p)}" for p in _touching(config) if p is not None]
+    tests = ["octet_length(t) = char_length(t)"]
+    if config.unescape_html:
+        tests.append(f"NOT t RLIKE {quoted(chars.ENTITY)}")
+    if config.remove_terminal_escapes and not config.remove_control_chars:
+        tests.append(f"NOT contains(t, {quoted(chr(27) + '[')})")
+    if (plain := _touching(config)) is not None:
+        tests.append(f"NOT t RLIKE {quoted(plain)}")
     return " AND ".join(tests)
 
 

@@ -1,66 +1,24 @@
-"""Repair of whole frames, with as much work as possible in built-in expressions.
+"""Repair of whole frames.
 
-The plan has no shuffle. A row takes the first way that is exact for it:
-
-1. no fixer can change the text: it stays;
-2. nothing in it is wrongly decoded, and one round of the built-in fixers leaves a text that no
-   fixer can change: that text;
-3. the kernel, which sees null for all other rows.
-
-Every intermediate is a column of its own projection, so that Spark computes it once.
+The plan has no shuffle. A text that no fixer can change, by a cheap test, stays in the JVM; every other one
+goes to the kernel, which sees null for the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmend.config import DEFAULT, TextFixerConfig
-from lexmend.functions import detect, fixers, repair
-
-
-def one_round(text: Column, config: TextFixerConfig) -> Column:
-    """The fixers behind the encoding step, once, in their order."""
-    steps = (
-        (config.fix_c1_controls, fixers.fix_c1_controls),
-        (config.fix_latin_ligatures, fixers.fix_latin_ligatures),
-        (config.fix_character_width, fixers.fix_character_width),
-        (config.uncurl_quotes, fixers.uncurl_quotes),
-        (config.fix_line_breaks, fixers.fix_line_breaks),
-        (config.remove_terminal_escapes, fixers.remove_terminal_escapes),
-        (config.remove_control_chars, fixers.remove_control_chars),
-    )
-    # Each step is bound, because the next one looks at its input more than once.
-    for on, step in steps:
-        if on:
-            text = fixers.bind(text, step)
-    return text
+from lexmend.functions import repair
 
 
 def fix_column(df: DataFrame, column: str = "text", output: str | None = None, config: TextFixerConfig = DEFAULT) -> DataFrame:
     """``df`` with the repaired texts of ``column`` in ``output`` (the same column if unset)."""
     names = [f"_lexmend_{i}" for i in range(len(df.columns))]
-    flat = df.toDF(*names)
-    text = F.col(names[df.columns.index(column)])
-    part = repair.entity_part(text, config, whole=False)
-    unescaped = text
-    if part is not None:
-        unescaped = F.when(F.contains(text, F.lit("&")), fixers.bind(part, lambda p: F.concat(fixers.unescape_html(p), F.substring(text, F.length(p) + 1, F.length(text))))).otherwise(text)
-    # A segment that is cut inside a line may hide from a fixer what the whole text shows.
-    whole_lines = F.octet_length(text) <= config.max_decode_length
-    bad = detect.may_be_bad("_u") if config.fix_encoding else F.lit(False)
-    made = (
-        flat.withColumn("_same", F.coalesce(repair.untouched(text, config), F.lit(True)))
-        .withColumn("_u", F.when(~F.col("_same") & whole_lines, unescaped))
-        # Most texts hold no character that these fixers change: one look spares a pass for each.
-        .withColumn("_r", F.when(~bad, F.when(repair.touched("_u", config), one_round(F.col("_u"), config)).otherwise(F.col("_u"))))
-    )
-    if config.normalization:
-        made = made.withColumn("_r", fixers.normalize("_r", config.normalization))
-    made = made.withColumn("_done", F.col("_same") | F.coalesce(F.col("_r").isNotNull() & repair.untouched("_r", config), F.lit(False)))
-    made = made.withColumn("_fixed", F.coalesce(repair.kernel_text(F.when(~F.col("_done"), text), config), F.when(F.col("_same"), text), F.col("_r")))
+    fixed = repair.fix_text(names[df.columns.index(column)], config).alias(output or column)
     kept = [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True) if c != (output or column)]
-    out = made.select(*kept, F.col("_fixed").alias(output or column))
+    out = df.toDF(*names).select(*kept, fixed)
     return out.select(*df.columns) if (output or column) in df.columns else out
 
 
