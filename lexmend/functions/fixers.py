@@ -91,9 +91,10 @@ def unsettled(form: str) -> frozenset[int]:
 
 
 @cache
-def unassigned() -> str:
-    """A class of the characters that Python's version of Unicode doesn't know. The normaliser of the JVM may know them; both sides leave them alone."""
-    return patterns.one_of({c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"}, 1 << 20)
+def unassigned() -> tuple[str, str]:
+    """A pattern, fast to fail, and a class of the characters that Python's version of Unicode doesn't know. The normaliser of the JVM may know them; both sides leave them alone."""
+    codes = {c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"}
+    return patterns.beyond_ascii(codes), patterns.one_of(codes, 1 << 20)
 
 
 def normalize(c: ColumnOrName, form: str = "NFC") -> Column:
@@ -104,11 +105,11 @@ def normalize(c: ColumnOrName, form: str = "NFC") -> Column:
     way = "compose" if form in ("NFC", "NFKC") else "decompose"
     matters = (F.octet_length(text) != F.char_length(text)) & text.rlike(patterns.beyond_ascii(unsettled(form)))
     done = lambda x: F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(way), x, F.lit(form in ("NFKC", "NFKD")))
-    new = unassigned()
+    some, new = unassigned()
     # Nothing composes across such a character, so what lies between them can be normalised apart.
     parts = F.regexp_extract_all(text, F.lit(f"({new}+|[^{new[1:]}+)"), F.lit(1))
-    apart = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(new), x).otherwise(done(x))), "")
-    return F.when(matters, F.when(text.rlike(new), apart).otherwise(done(F.when(matters, text)))).otherwise(text)
+    apart = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(some), x).otherwise(done(x))), "")
+    return F.when(matters, F.when(text.rlike(some), apart).otherwise(done(F.when(matters, text)))).otherwise(text)
 
 
 @cache
