@@ -25,7 +25,7 @@ import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -221,14 +221,14 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]
     return edges
 
 
-def nearest_forest(fps: np.ndarray, more: np.ndarray, group: np.ndarray, distance: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning forest of least total distance of the candidates of one bucket whose groups differ, as pairs of places: likelier than others to be made of true links."""
+def nearest_forest(fps: np.ndarray, more: np.ndarray, group: np.ndarray, distance: int, slack: int, both: int = 2 * BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of least total distance of the candidates of one bucket whose groups differ, as pairs of places: likelier than others to be made of true links. ``both`` bounds the total."""
     far = 255
     best, parent = np.full(len(fps), far, np.uint8), np.zeros(len(fps), np.int64)
     open_, x, edges = np.arange(1, len(fps)), 0, []
     while len(open_):
         one, two = np.bitwise_count(fps[open_] ^ fps[x]), np.bitwise_count(more[open_] ^ more[x])
-        now = np.where((one <= distance) & (two <= slack) & (group[open_] != group[x]), one + two, far)
+        now = np.where((one <= distance) & (two <= slack) & (one + two <= both) & (group[open_] != group[x]), one + two, far)
         closer = now < best[open_]
         best[open_[closer]], parent[open_[closer]] = now[closer], x
         j = int(np.argmin(best[open_]))
@@ -263,9 +263,9 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def dealt(rows: DataFrame, block: int, salt: str) -> DataFrame:
-    """``rows`` (key and others) by key, sorted by it; keys of more than ``block`` rows are dealt out as pairs of blocks, by a hash of ``salt``."""
-    hot = staged(rows.groupBy("key").count().filter(F.col("count") > block).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "simhash-hot")
+def dealt(rows: DataFrame, block: int, salt: str, sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` (key and others) by key, sorted by it; keys of more than ``block`` rows are dealt out as pairs of blocks, by a hash of ``salt``. ``sizes`` (key, count) may be estimates: every pair of a key meets at any number of blocks."""
+    hot = staged((rows.groupBy("key").count() if sizes is None else sizes).filter(F.col("count") > block).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "simhash-hot")
     own = F.pmod(F.xxhash64(salt, F.lit(SEED)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     rest = [c for c in rows.columns if c != "key"]
@@ -316,30 +316,41 @@ def links(fps: DataFrame, distance: int = 3, parts: list[Part] | None = None) ->
     return dealt_probes(fps, masks).mapInArrow(search, "a long, b long").filter("a <> b").distinct()
 
 
-def bucket_forest(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, group: np.ndarray, distance: int, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs inside runs of equal keys, within ``distance`` in ``fps`` and ``slack`` in ``more``, of different groups: all of small runs, a spanning forest of larger ones."""
+def bucket_forest(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, group: np.ndarray, distance: int, slack: int, both: int = 2 * BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs inside runs of equal keys, within ``distance`` in ``fps``, ``slack`` in ``more`` and ``both`` in their sum, of different groups: all of small runs, a spanning forest of larger ones."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     for d in range(1, min(SMALL, len(keys))):
         at = np.flatnonzero(small[:-d] & (keys[:-d] == keys[d:]))
-        at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= distance]
-        at = at[(np.bitwise_count(more[at] ^ more[at + d]) <= slack) & (group[at] != group[at + d])]
+        at = at[group[at] != group[at + d]]
+        one, two = np.bitwise_count(fps[at] ^ fps[at + d]), np.bitwise_count(more[at] ^ more[at + d])
+        at = at[(one <= distance) & (two <= slack) & (one + two <= both)]
         yield at, at + d
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        # Two rows of the largest group are no pair: its rows come last and are compared with the others only.
+        groups, sizes_ = np.unique(group[s : s + n], return_counts=True)
+        if len(groups) == 1:
+            continue
+        largest = group[s : s + n] == groups[np.argmax(sizes_)]
+        order = s + np.argsort(largest, kind="stable")
         # Rows without a candidate are left out of the forest's steps.
         some = np.zeros(n, bool)
-        own, other, part = fps[s : s + n], more[s : s + n], group[s : s + n]
-        for i in range(0, n, 256):
-            a, b = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= distance)
+        own, other, part = fps[order], more[order], group[order]
+        for i in range(0, n - int(largest.sum()), 256):
+            one = np.bitwise_count(own[i : i + 256, None] ^ own[None, i:])
+            near = one <= distance
+            if both < 2 * BITS:
+                near &= one + np.bitwise_count(other[i : i + 256, None] ^ other[None, i:]) <= both
+            a, b = np.nonzero(near)
             fits = (b > a) & (part[i + a] != part[i + b])
             a, b = i + a[fits], i + b[fits]
             fits = np.bitwise_count(other[a] ^ other[b]) <= slack
             some[a[fits]] = some[b[fits]] = True
         place = np.flatnonzero(some)
         if len(place):
-            a, b = nearest_forest(own[place], other[place], part[place], distance, slack)
-            yield s + place[a], s + place[b]
+            a, b = nearest_forest(own[place], other[place], part[place], distance, slack, both)
+            yield order[place[a]], order[place[b]]
 
 
 def near_forest(classes: DataFrame, distance: int, slack: int, parts: list[Part]) -> DataFrame:
@@ -349,14 +360,44 @@ def near_forest(classes: DataFrame, distance: int, slack: int, parts: list[Part]
     if not masks:
         return spark.createDataFrame([], "a long, b long")
 
+    return bucket_pairs(dealt_probes(classes.select("fp", "more", "root", "node"), masks, "more", "root", "node"), distance, slack)
+
+
+def bucket_pairs(probes: DataFrame, distance: int, slack: int, both: int = 2 * BITS) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of :func:`bucket_forest` among ``probes`` (key, fp, more, root, node), sorted by key."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, f, m, group, node in whole_runs(batches):
-            for at, to in bucket_forest(k, f.view(np.uint64), m.view(np.uint64), group, distance, slack):
+            for at, to in bucket_forest(k, f.view(np.uint64), m.view(np.uint64), group, distance, slack, both):
                 a, b = node[at], node[to]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt_probes(classes.select("fp", "more", "root", "node"), masks, "more", "root", "node").mapInArrow(search, "a long, b long").filter("a <> b").distinct()
+    return probes.mapInArrow(search, "a long, b long").filter("a <> b").distinct()
+
+
+#: Bits of both fingerprints, 128 together, in which sets that share a rare shingle may differ. At a similarity of 0.8 each bit differs
+#: with odds of 0.15 (19 of 128 on average, deviation 4), of 0.19 in the smallest sets (24 and 4.4). Unrelated sets are so close with
+#: odds of 4 in 10^7; twelve bits more would chain many of them to one component.
+WIDE = 36
+#: One of so many sets shows which shingles have more than ``BLOCK`` rows.
+SHOWN = 16
+
+
+def shared_forest(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups that share a shingle of their ``prefixes`` (node, prefix) and are within ``WIDE``: as many as join in every bucket what all such pairs join.
+
+    Sets of the similarity that the prefixes are made for do share one (see :func:`prefix`), so their number grows with the
+    texts' length and not with the corpus, other than the buckets of masked fingerprints.
+    """
+    own = classes.select(F.col("node").alias("x"), "fp", "more", "root")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.join(own, F.col("node") == F.col("x")).select(F.explode("prefix").alias("key"), "fp", "more", "root", "node")
+
+    shown = prefixes.filter(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SHOWN)) == 0).select(F.explode("prefix").alias("key"))
+    sizes = shown.groupBy("key").agg((F.count(F.lit(1)) * SHOWN).alias("count"))
+    return bucket_pairs(dealt(keyed(prefixes), BLOCK, "node", sizes), BITS, BITS, WIDE)
 
 
 def similar_forest(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], least_similarity: float) -> list[tuple[int, int]]:
@@ -476,18 +517,50 @@ def sketch(text: str | None, n: int) -> tuple[int, int, np.ndarray]:
     return majority([own]), majority([mixed ^ (mixed >> np.uint64(31))]), own
 
 
-def sketches(rows: DataFrame, n: int) -> DataFrame:
-    """One row for each row of ``rows`` (id, r1, r2, text): id, r1, r2, fp, more and node, the hash of the shingle set."""
+def prefix(own: np.ndarray, common: np.ndarray, least_similarity: float) -> np.ndarray:
+    """The first hashes of a sorted set, ``common`` ones behind all others: so many that two sets of that Jaccard similarity have one of them in common.
+
+    What a set of s shares with a similar one is ``least_similarity`` * s or more, so the first hash
+    that both have, in an order that holds for all sets, has at least that many of its own from there on.
+    """
+    late = np.isin(own, common)
+    ordered = np.concatenate((own[~late], own[late]))
+    return ordered[: len(own) - ceil(least_similarity * len(own) - 1e-9) + 1]
+
+
+#: The shingles that so many texts of a sample of ``SAMPLE`` have come last in the order of prefixes. Any order finds the same pairs; this one makes small buckets.
+SAMPLE, COMMON_TEXTS, MOST_COMMON = 4000, 8, 4096
+
+
+def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
+    """Hashes of the shingles that many of the ``texts`` (r1, r2, text) have, by a sample."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.zeros((3, batch.num_rows), dtype=np.uint64)
+        for batch in slices(batches):
+            made = [np.unique(shingle_hashes(x.as_py(), n)) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *made]).view(np.int64))], names=["key"])
+
+    step = max(1, texts.count() // SAMPLE)
+    drawn = texts.filter(F.pmod("r2", F.lit(step)) == 0).select("text").limit(2 * SAMPLE)
+    counts = drawn.mapInArrow(each, "key long").groupBy("key").count().filter(F.col("count") >= COMMON_TEXTS)
+    found = counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
+
+
+def sketches(rows: DataFrame, n: int, common: np.ndarray, least_similarity: float) -> DataFrame:
+    """One row for each row of ``rows`` (id, r1, r2, text): id, r1, r2, fp, more, node, the hash of the shingle set, and its prefix."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made, first = np.zeros((3, batch.num_rows), dtype=np.uint64), []
             for i, x in enumerate(batch.column(3)):
                 one, two, own = sketch(x.as_py(), n)
                 made[:, i] = one, two, xxhash.xxh64_intdigest(own.tobytes(), SEED)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x.view(np.int64)) for x in made]], names=["id", "r1", "r2", "fp", "more", "node"])
+                first.append(prefix(own, common, least_similarity).view(np.int64))
+            columns = [*batch.columns[:3], *[pa.array(x.view(np.int64)) for x in made], pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "r1", "r2", "fp", "more", "node", "prefix"])
 
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, r1 long, r2 long, fp long, more long, node long")
+    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, r1 long, r2 long, fp long, more long, node long, prefix array<long>")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -510,34 +583,31 @@ def similar(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> DataF
     return joined.filter(shared >= F.lit(least_similarity) * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
-def similar_components(classes: DataFrame, texts: DataFrame, n: int, distance: int, slack: int, least_similarity: float) -> DataFrame:
-    """Components (node, root) of the links of that similarity among ``classes`` (node, fp, more, least), whose texts are in ``texts`` (r1, r2, text).
+def similar_components(classes: DataFrame, texts: DataFrame, prefixes: DataFrame, n: int, distance: int, slack: int, least_similarity: float) -> DataFrame:
+    """Components (node, root) of the links of that similarity among ``classes`` (node, fp, more, least), whose texts are in ``texts`` (r1, r2, text) and whose ``prefixes`` (node, prefix) are given.
 
     First, a spanning forest of the candidates in each bucket of a search for half the distance is verified: it joins most of what
     belongs together, groups of copies above all, by as many pairs as they have members. Then all candidates between what is
-    still apart are searched: those within ``distance`` by the first fingerprint, and those by the second; either way the other one
-    passes them within ``slack``. Of these, too, a forest is kept, whose components hold every candidate pair; the sets of each are
-    compared in one place, in pairs of blocks above ``SET_BLOCK``. So nothing is paired off but in memory.
+    still apart are looked for among the sets that share a rare shingle: those whose two fingerprints differ by ``WIDE`` bits at most.
+    Of these, too, a forest is kept, whose components hold every candidate pair; the sets of each are compared in one place,
+    in pairs of blocks above ``SET_BLOCK``. So nothing is paired off but in memory.
     """
-
-    def plan(column: str, within: int) -> list[Part]:
-        # Wide distances ask for more parts than narrow ones; the allocator compares them. Parts of fewer than eight bits filter too little.
-        return plan_parts(classes.select(F.col(column).alias("fp")), within, tuple(range(2, min(within + 1, 8) + 1)))
+    # Wide distances ask for more parts than narrow ones; the allocator compares them. Parts of fewer than eight bits filter too little.
+    within = distance // 2
+    parts = plan_parts(classes.select("fp"), within, tuple(range(2, min(within + 1, 8) + 1)))
 
     def shingled(wanted: DataFrame) -> DataFrame:
         holders = wanted.join(classes, "node").select("node", F.col("least.r1").alias("h1"), F.col("least.r2").alias("h2"))
         return shingle_sets(texts.join(holders, (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2"))).select("node", "text"), n).dropDuplicates(["node"])
 
     single = classes.select("node", "fp", "more", F.col("node").alias("root"))
-    pairs = staged(near_forest(single, distance, slack, plan("fp", distance // 2)), "simhash-pairs")
+    pairs = staged(near_forest(single, distance, slack, parts), "simhash-pairs")
     sets = staged(shingled(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), "simhash-sets")
     near = staged(similar(pairs, sets, least_similarity), "simhash-similar")
     joined = components(near)
     grouped = classes.join(joined.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
     grouped = staged(grouped, "simhash-grouped")
-    swapped = grouped.select("node", F.col("more").alias("fp"), F.col("fp").alias("more"), "root")
-    apart = near_forest(grouped, distance, slack, plan("fp", distance)).union(near_forest(swapped, distance, slack, plan("more", distance)))
-    places = components(apart)
+    places = components(shared_forest(grouped, prefixes))
     # A component's root has no row of its own.
     keys = places.select("node", F.col("root").alias("key")).union(places.select(F.col("root").alias("node"), F.col("root").alias("key")).distinct())
     keys = staged(keys, "simhash-keys")
@@ -553,23 +623,23 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row of ``df`` for each component, with all its columns: that with the smallest id, null ids last.
 
     Rows are told apart by id and text; of rows that repeat both, one stays. Without
-    ``least_similarity`` components are those of links within ``distance``. With it, such links
-    are candidates that a second fingerprint passes within ``slack``, and the ones whose sets of
-    ``n``-word shingles have that Jaccard similarity count.
+    ``least_similarity`` components are those of links within ``distance``. With it, links are the
+    pairs whose sets of ``n``-word shingles have that Jaccard similarity: first among those within half
+    of ``distance``, and ``slack`` by a second fingerprint, then among all (:func:`similar_components`).
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", *text_marks(), "text")
     if least_similarity is None:
         marked = fingerprints(texts.select(F.struct("id", "r1", "r2").alias("k"), "text"), "k", "text", n)
         rows = staged(marked.select("id.*", "fp", F.col("fp").alias("more"), F.col("fp").alias("node")), "simhash")
     else:
-        rows = staged(sketches(texts, n), "simhash")
+        rows = staged(sketches(texts, n, common_shingles(texts, n), least_similarity), "simhash")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "r1", "r2"))
     classes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), first.alias("least")), "simhash-classes")
     held = [rows, classes]
     if least_similarity is None:
         found = components(links(classes.select("fp"), distance))
     else:
-        found = similar_components(classes, texts, n, distance, slack, least_similarity)
+        found = similar_components(classes, texts, rows.select("node", "prefix"), n, distance, slack, least_similarity)
     roots = classes.join(found.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     kept = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r1").alias("k1"), F.col("least.r2").alias("k2"))
     # A row of each id and text, and whether there are more of it.

@@ -453,3 +453,58 @@ def brute_similar(rows):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {find(i) for i, _ in rows}
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Whatever shingles count as common, two sets of that similarity share a hash of their prefixes; a set of s gives a fifth of s and one."""
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 60)), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.1], rng.integers(0, 2**64, int(rng.integers(0, 8)), dtype=np.uint64))))
+        common = np.sort(rng.permutation(np.concatenate((a, b)))[: int(rng.integers(0, 40))])
+        shared = len(np.intersect1d(a, b))
+        one, two = simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)
+        assert len(one) <= len(a) / 5 + 1
+        if len(b) and shared >= 0.8 * (len(a) + len(b) - shared):
+            met += 1
+            assert len(np.intersect1d(one, two)), (a, b, common)
+    assert met > 300 and not len(simhash.prefix(np.zeros(0, "<u8"), common, 0.8))
+
+
+def unrelated(n, seed):
+    rng = random.Random(seed)
+    return [(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(40))) for i in range(n)]
+
+
+def test_search_for_near_copies_in_proportion(spark, monkeypatch):
+    """Unrelated texts are hardly ever looked at as pairs, and a group of copies or a passage that many have changes no result."""
+    looked = []
+
+    def counted(rows, block, salt, *more, f=simhash.dealt):
+        c = F.col("count").cast("double")
+        looked.append(rows.groupBy("key").count().agg(F.sum(c * (c - 1) / 2)).collect()[0][0] or 0.0)
+        return f(rows, block, salt, *more)
+
+    monkeypatch.setattr(simhash, "dealt", counted)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = unrelated(1200, 1)
+    rows = [(i, f"{t} {passage}") if i % 3 == 0 else (i, t) for i, t in rows]
+    got = simhash.drop_near_copies(frame(spark, rows), distance=14, n=5, least_similarity=0.8)
+    assert got.count() == len(rows)
+    # The first search is for half the distance; the others look for all that is left.
+    assert sum(looked[1:]) < 5 * len(rows), looked
+
+
+def test_links_beyond_the_fingerprints_are_found(spark):
+    """Small sets whose similarity is 0.8 though each of the two fingerprints is further apart than the distance."""
+    rng, rows = random.Random(4), []
+    while len(rows) < 40:
+        words = [f"{rng.randrange(10**6)}" for _ in range(9)]
+        a, b = " ".join(words[:8]), " ".join(words)
+        (f, g, _), (h, k, _) = simhash.sketch(a, 5), simhash.sketch(b, 5)
+        if min((f ^ h).bit_count(), (g ^ k).bit_count()) > 14 and (f ^ h).bit_count() + (g ^ k).bit_count() <= simhash.WIDE:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert all(jaccard(a, b) == 0.8 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    got = simhash.drop_near_copies(frame(spark, rows), distance=14, n=5, least_similarity=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 40, 2))
