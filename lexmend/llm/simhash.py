@@ -456,14 +456,46 @@ def verified(members: DataFrame, least_similarity: float) -> DataFrame:
     return dealt(members.select("key", "node", "root", "shingles"), SET_BLOCK, "node").mapInArrow(each, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def joined_at_once(edges: DataFrame) -> DataFrame:
+    """:func:`components` of few distinct edges (u, v), in one task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = sorted((find(u), find(v)))
+                root[high] = low
+        found = [(x, r) for x in list(root) if (r := find(x)) != x]
+        node, least = np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(each, "node long, root long")
+
+
+#: Most edges that one task joins: some 4 MB.
+AT_ONCE = 1 << 18
+
+
+def components(edges: DataFrame, most_rounds: int = 60, at_once: int = 0) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node; nodes that are roots have no row.
 
+    Up to ``at_once`` distinct edges are joined in one task: rounds ask for many jobs, each of which costs the driver memory.
+
     Alternating rounds: large-star hangs a node's larger neighbours on its smallest neighbour,
     small-star does so with the smaller ones. Smallest neighbours are aggregated, never gathered,
     so a node with a third of all edges is one row for each task.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
+    if at_once and e.count() <= at_once:
+        found = staged(joined_at_once(e), "components")
+        drop_staged(e)
+        return found
     mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
     was = mark(e)
     for _ in range(most_rounds):
@@ -604,16 +636,16 @@ def similar_components(classes: DataFrame, texts: DataFrame, prefixes: DataFrame
     pairs = staged(near_forest(single, distance, slack, parts), "simhash-pairs")
     sets = staged(shingled(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), "simhash-sets")
     near = staged(similar(pairs, sets, least_similarity), "simhash-similar")
-    joined = components(near)
+    joined = components(near, at_once=AT_ONCE)
     grouped = classes.join(joined.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
     grouped = staged(grouped, "simhash-grouped")
-    places = components(shared_forest(grouped, prefixes))
+    places = components(shared_forest(grouped, prefixes), at_once=AT_ONCE)
     # A component's root has no row of its own.
     keys = places.select("node", F.col("root").alias("key")).union(places.select(F.col("root").alias("node"), F.col("root").alias("key")).distinct())
     keys = staged(keys, "simhash-keys")
     members = shingled(keys.select("node")).join(keys, "node").join(grouped.select("node", "root"), "node")
     more = staged(verified(staged(members, "simhash-members"), least_similarity), "simhash-more")
-    found = components(near.union(more))
+    found = components(near.union(more), at_once=AT_ONCE)
     for table in (pairs, sets, near, joined, grouped, places, keys, more):
         drop_staged(table)
     return found

@@ -508,3 +508,18 @@ def test_links_beyond_the_fingerprints_are_found(spark):
     assert all(jaccard(a, b) == 0.8 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
     got = simhash.drop_near_copies(frame(spark, rows), distance=14, n=5, least_similarity=0.8)
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 40, 2))
+
+
+def test_components_at_once(spark):
+    """One task joins as the rounds do, and asks for fewer jobs."""
+    rng = random.Random(2)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(280)] + [(7, 7), (500, 501), (501, 500)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    jobs, found = [], []
+    for at_once in (0, 1000, 10):
+        spark.sparkContext.setJobGroup(f"components {at_once}", "")
+        found.append({r["node"]: r["root"] for r in simhash.components(edges, at_once=at_once).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {at_once}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert found[0] == found[1] == found[2] and found[0][501] == 500 and 7 not in set(found[0]) - {x for p in pairs for x in p}
+    assert 3 * jobs[1] < jobs[0], jobs
