@@ -76,12 +76,11 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> Dat
     return filled.select(*sizes.columns, F.least(F.col("cap"), water * F.col("weight")).alias("target"))
 
 
-def _found(words: DataFrame, left: DataFrame, range_col: str) -> DataFrame:
-    """The range of each source in which its running sum of words reaches what is left to take: source, range, left, before."""
+def _found(words: DataFrame, range_col: str) -> DataFrame:
+    """The range of each source in which its running sum of words and those ahead reaches what is left to take: source, range, left, before. ``words`` has source, range, words, left, ahead."""
     run = Window.partitionBy("source").orderBy(range_col)
     return (
         words.withColumn("upto", F.sum("words").over(run))
-        .join(left, F.col("source").eqNullSafe(F.col("l_source")))
         .filter((F.col("upto") + F.col("ahead") >= F.col("left")) & (F.col("upto") + F.col("ahead") - F.col("words") < F.col("left")))
         .select("source", range_col, "left", (F.col("upto") + F.col("ahead") - F.col("words")).alias("before"))
     )
@@ -131,13 +130,13 @@ def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str, prefer_col
     return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"), x.cast("long").alias("x"), F.col(key_col).alias("key"), *more)
 
 
-def _first_cut(scored: DataFrame, left: DataFrame) -> DataFrame:
+def _first_cut(scored: DataFrame) -> DataFrame:
     """Where the sample of a source first meets a document that doesn't fit: x_source, cut_range, cut (the last rank that fits), done (words up to it)."""
-    drawn = scored.filter("q is not null").withColumn("coarse", F.floor(F.col("fine") / STEP))
-    coarse = staged(_found(drawn.groupBy("source", "coarse").agg(F.sum("size").alias("words")), left, "coarse"), "mix-coarse")
-    inside = drawn.join(coarse.select(F.col("source").alias("c_source"), F.col("coarse").alias("c_coarse")), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("coarse") == F.col("c_coarse")))
-    ahead = coarse.select(F.col("source").alias("l_source"), "left", F.col("before").alias("ahead"))
-    fine = staged(_found(inside.groupBy("source", "fine").agg(F.sum("size").alias("words")), ahead, "fine"), "mix-fine")
+    drawn, words = scored.filter("q is not null"), F.sum("size").alias("words")
+    # What is left of a source goes along with its rows: a join for it would be one more broadcast table in the driver.
+    coarse = staged(_found(drawn.groupBy("source", "coarse").agg(words, F.first("left").alias("left")).withColumn("ahead", F.lit(0).cast("long")), "coarse"), "mix-coarse")
+    inside = drawn.join(coarse.select(F.col("source").alias("c_source"), F.col("coarse").alias("c_coarse"), F.col("before").alias("ahead")), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("coarse") == F.col("c_coarse")))
+    fine = staged(_found(inside.groupBy("source", "fine").agg(words, F.first("left").alias("left"), F.first("ahead").alias("ahead")), "fine"), "mix-fine")
     fine = fine.select(F.col("source").alias("k_source"), F.col("fine").alias("cut_range"), F.col("left").alias("k_left"), "before")
     part = drawn.join(fine, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("fine") == F.col("cut_range")))
     order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first(), "key")
@@ -163,11 +162,11 @@ def _nearest(rows: DataFrame, range_col: str) -> DataFrame:
     return rows.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col(range_col) == F.col("r_range"))).drop("r_source", "r_range")
 
 
-def _closing(scored: DataFrame, cuts: DataFrame) -> DataFrame:
+def _closing(scored: DataFrame, first: DataFrame) -> DataFrame:
     """The keys of the documents behind the cuts that fit what is left, gone through in the order of their ranks."""
     fits = F.col("size") + F.col("done") <= F.col("left")
     columns = ("source", "q", "id", "key", "size", "fine", "coarse", "left", "done")
-    behind = scored.filter(F.col("q").isNotNull() & F.col("cut_range").isNotNull() & ~_ahead_of_cut() & fits).withColumn("coarse", F.floor(F.col("fine") / STEP))
+    behind = scored.filter("q is not null").join(first, F.col("source").eqNullSafe(F.col("x_source"))).filter(~_ahead_of_cut() & fits)
     open_ = staged(behind.select(*columns), "mix-open")
     found = [open_.sparkSession.range(0).select(F.col("id").alias("key"))]
     while not open_.isEmpty():
@@ -197,17 +196,19 @@ def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, prefer_col
     size = n_words(F.col(text_col))
     base = staged(_rows(df, id_col, text_col, source_col, prefer_col, key_col, seed, size.alias("size")).withColumn("some", F.col("size") > 0), "mix-base")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("pull"))
-    targets = staged(source_targets(sizes, max_repeat, cycle).withColumnRenamed("source", "t_source"), "mix-targets")
-    scored = _scored(base, targets, max_repeat)
     # The certain copies of a source follow from its size.
     sure = F.floor(F.least(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(float(max_repeat)))) * F.col("source_size")
-    left = targets.select(F.col("t_source").alias("l_source"), (F.col("target") - sure).alias("left"), F.lit(0).cast("long").alias("ahead"))
-    first = _first_cut(scored, left)
-    cuts = targets.join(left.drop("ahead"), F.col("t_source").eqNullSafe(F.col("l_source"))).join(first, F.col("t_source").eqNullSafe(F.col("x_source")), "left")
+    targets = staged(source_targets(sizes, max_repeat, cycle).withColumnRenamed("source", "t_source").withColumn("left", F.col("target") - sure), "mix-targets")
+    # Written once: else every plan below would hold the join with the targets and the formula of the rank, several times over.
+    scored = _scored(base, targets, max_repeat).withColumn("coarse", F.floor(F.col("fine") / STEP))
+    scored = staged(scored.select("source", "id", "key", "size", "q", "fine", "coarse", "left"), "mix-scored")
+    first = _first_cut(scored)
+    cuts = targets.join(first, F.col("t_source").eqNullSafe(F.col("x_source")), "left")
     cuts = staged(cuts.select("t_source", "source_size", "target", "pull", "left", "cut_range", "cut", "done"), "mix-cuts")
-    for held in (targets, first):
+    closing = _closing(scored, first)
+    for held in (targets, scored, first):
         drop_staged(held)
-    return base, cuts, _closing(_scored(base, cuts, max_repeat), cuts)
+    return base, cuts, closing
 
 
 def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefer_col: str | None = None, max_repeat: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:

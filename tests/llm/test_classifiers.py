@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -128,6 +129,20 @@ def test_svm_separates():
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.98
 
 
+def test_languages_are_trained_without_copies_of_the_sample():
+    rng = np.random.default_rng(1)
+    langs = ["de", "en", "es", "fr"] * 50
+    x = rng.random((200, langid.BINS), dtype=np.float32)
+    for i, lang in enumerate(langs):
+        x[i, : 64 * (1 + ord(lang[0]) % 7)] += 2
+    tracemalloc.start()
+    model = langid.fit_vectors(x, langs, np.full(200, 500))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.profiles) == 4 and len(model.weights) == len(model.families) + len(model.pairs)
+    assert peak < x.nbytes / 2
+
+
 INSULTS = "vrakon dulbek smorga".split()
 
 

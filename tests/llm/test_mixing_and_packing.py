@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmend.llm.common import n_words
+from lexmend.llm import mixing
+from lexmend.llm.common import n_words, read
 from lexmend.llm.mixing import mix, mix_plan
 from lexmend.llm.packing import choose_boundaries, pack
 from lexmend.llm.tokens import PATTERN, VOCABULARY, encoder, token_counts
@@ -121,6 +122,19 @@ def test_mix_of_files_and_of_frames_agree(spark, tmp_path):
     assert Counter(mix(stored).select("doc_id", "text").collect()) == Counter(mix(stored.repartition(3)).select("doc_id", "text").collect())
 
 
+def test_mix_joins_rows_with_their_targets_once(spark, monkeypatch):
+    joins, staged = Counter(), mixing.staged
+
+    def counted(df, name):
+        joins[name] += df._jdf.queryExecution().analyzed().toString().count("Join ")
+        return staged(df, name)
+
+    monkeypatch.setattr(mixing, "staged", counted)
+    assert mix_plan(read(spark, "/root/testdata/sf0.001", "documents")).count() == 200
+    # Each is a broadcast table in the driver: targets, coarse and fine ranges, cuts.
+    assert sum(joins[f"mix-{x}"] for x in ("scored", "coarse", "fine", "first", "cuts")) <= 4
+
+
 def test_mix_preferences(spark):
     """Inclusion odds differ inside a source: shorter documents are drawn more often, or those with a higher preference."""
     rows = [(i, "a b c d" if i % 2 else "word " * 400, "s" if i % 4 < 2 else "big") for i in range(3000)] + [(9999, "w " * 40000, "huge")]
