@@ -1,0 +1,36 @@
+"""Of the queries over large tables: how often they read them, and how many texts the workers hold at once."""
+
+from pyspark.sql import functions as F
+
+from lexmend import kernel
+from lexmend.functions import codecs
+from lexmend.plans import damage
+from lexmend.plans.queries import QUERIES, ROUND_TRIPS
+
+ODD = [None, "", "plain", "\x1a", "a\x1ab\x7f\x00", "é", "ª Ò ÿ", "؀א�", "日本 😀￾", "".join(map(chr, range(0x80, 0x800)))]
+
+
+def of_texts(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_round_trips_read_the_documents_once(spark, tmp_path):
+    plan = QUERIES["codec_round_trips"](spark, of_texts(spark, tmp_path, ODD))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_round_trips_are_those_of_the_columns(spark, tmp_path):
+    folder = of_texts(spark, tmp_path, ODD)
+    got = sorted(map(str, QUERIES["codec_round_trips"](spark, folder).collect()))
+    made, want = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for codec in ROUND_TRIPS:
+        back = codecs.decode_utf8(codecs.encode(damage.layer(F.col("text"), codec), codec))
+        want += made.select("doc_id", F.when(F.col("text").isNull(), None).otherwise(F.concat(F.when(back.eqNullSafe(F.col("text")), back).otherwise(F.lit("lost")), F.lit(codec))).alias("text")).collect()
+    assert got == sorted(map(str, want)) and len(got) == len(ODD) * len(ROUND_TRIPS)
+
+
+def test_round_trip_of_bytes():
+    assert kernel.round_trip("é".encode(), "sloppy-windows-1252") == "é"
+    assert kernel.round_trip("ª".encode(), "sloppy-windows-1253") is None
+    assert kernel.round_trip(b"\xc3", "latin-1") is None
