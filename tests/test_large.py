@@ -1,9 +1,15 @@
 """Of the queries over large tables: how often they read them, and how many texts the workers hold at once."""
 
+import random
+import re
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from lexmend import kernel
-from lexmend.functions import codecs
+from lexmend.functions import batches, codecs, repair
 from lexmend.plans import damage
 from lexmend.plans.queries import QUERIES, ROUND_TRIPS
 
@@ -34,3 +40,35 @@ def test_round_trip_of_bytes():
     assert kernel.round_trip("é".encode(), "sloppy-windows-1252") == "é"
     assert kernel.round_trip("ª".encode(), "sloppy-windows-1253") is None
     assert kernel.round_trip(b"\xc3", "latin-1") is None
+
+
+@pytest.mark.parametrize("query", ["fix_text_and_layers", "fix_encoding_two_layers", "fix_encoding_1252", "fix_text", "fix_pages"])
+def test_repairs_run_on_arrow_slices(spark, query):
+    frame = QUERIES[query](spark, "/root/testdata/sf0.001")
+    kinds = set(map(int, re.findall(r"ArrowEvalPython .*?, \[pythonUDF[^\]]*\], (\d+)", frame._jdf.queryExecution().executedPlan().toString(), re.S)))
+    assert kinds == {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}
+
+
+def test_results_leave_before_the_next_slice_is_begun():
+    done = []
+    made = batches.by_text(lambda t: done.append(t) or t.upper()).func(iter([pa.array(["a", None] * 500), pa.array([], pa.string()), pa.array(["b"])]))
+    assert len(next(made)) == batches.ROWS and len(done) == batches.ROWS // 2
+    rest = list(made)
+    assert sum(map(len, rest)) == 1001 - batches.ROWS and max(map(len, rest)) == batches.ROWS and rest[-1].to_pylist() == ["B"]
+
+
+def test_batches_of_many_slices_keep_their_rows(spark):
+    made = spark.range(1000).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("Ã©"), F.col("id").cast("string"))).alias("text"))
+    got = made.select("id", repair.kernel_text("text").alias("one"), repair.fix_text("text").alias("two")).collect()
+    assert [tuple(r) for r in got] == [(i, *[f"é{i}" if i % 7 else None] * 2) for i in range(1000)]
+
+
+@pytest.mark.parametrize("name", ["_C1", "_LIGATURES", "_WIDTHS", "_QUOTES"])
+def test_mapped_characters_are_those_of_translate(name):
+    table, rnd = getattr(kernel, name), random.Random(1)
+    mapped, own = kernel._mapped(table), [chr(c) for c in table]
+    for kinds in (1, kernel.FEW, kernel.FEW + 1, len(own)):
+        for _ in range(200):
+            some = rnd.choices(own, k=kinds)
+            text = "".join(rnd.choice(some if rnd.random() < 0.3 else "abc é☃“’ﬁ\x80Ａ") for _ in range(rnd.randrange(80)))
+            assert mapped(text) == text.translate(table)
