@@ -7,13 +7,12 @@ only the texts that can change.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lexmend import chars, kernel, patterns
 from lexmend.config import DEFAULT, ENCODING_ONLY, TextFixerConfig
-from lexmend.functions.repair import EXPLAINED, _touching
+from lexmend.functions.batches import by_text
+from lexmend.functions.repair import EXPLAINED, _touching, explained
 
 
 def quoted(text: str) -> str:
@@ -75,16 +74,7 @@ def register(spark: SparkSession, config: TextFixerConfig = DEFAULT, prefix: str
         names.append(prefix + name)
 
     def register_text(name: str, make) -> None:
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else make(t))
-
-        spark.udf.register(name, run)
-
-    @F.pandas_udf(EXPLAINED)
-    def explain(texts: pd.Series) -> pd.DataFrame:
-        done = [(None, None) if t is None else kernel.fix_and_explain_safely(t, config) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in done], "steps": [None if s is None else [{"transformation": x} for x in s] for _, s in done]})
+        spark.udf.register(name, by_text(make))
 
     for name, own in (("fix_text", config), ("fix_encoding", ENCODING_ONLY)):
         register_text(f"{prefix}{name}_kernel", lambda t, own=own: kernel.fix_text_safely(t, own))
@@ -92,7 +82,7 @@ def register(spark: SparkSession, config: TextFixerConfig = DEFAULT, prefix: str
         names.append(prefix + name)
     register_text(f"{prefix}unescape_html_kernel", kernel.unescape_html)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}unescape_html(t STRING) RETURNS STRING RETURN coalesce({prefix}unescape_html_kernel(CASE WHEN t RLIKE {quoted(chars.ENTITY)} THEN t END), t)")
-    spark.udf.register(f"{prefix}fix_and_explain_kernel", explain)
+    spark.udf.register(f"{prefix}fix_and_explain_kernel", explained(config))
     none = "array()" if config.explain else "NULL"
     plain = f"named_struct('text', t, 'steps', CAST({none} AS ARRAY<STRUCT<transformation: STRING>>))"
     spark.sql(

@@ -42,14 +42,14 @@ def test_round_trip_of_bytes():
     assert kernel.round_trip(b"\xc3", "latin-1") is None
 
 
-@pytest.mark.parametrize("query", ["fix_text_and_layers", "fix_encoding_two_layers", "fix_encoding_1252", "fix_text", "fix_pages"])
+@pytest.mark.parametrize("query", ["fix_text_and_layers", "fix_encoding_two_layers", "fix_encoding_1252", "fix_text", "fix_pages", "fix_and_explain", "decode_inconsistent_utf8", "sql_functions"])
 def test_repairs_run_on_arrow_slices(spark, query):
     frame = QUERIES[query](spark, "/root/testdata/sf0.001")
     kinds = set(map(int, re.findall(r"ArrowEvalPython .*?, \[pythonUDF[^\]]*\], (\d+)", frame._jdf.queryExecution().executedPlan().toString(), re.S)))
     assert kinds == {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}
 
 
-def test_results_leave_before_the_next_slice_is_begun():
+def test_results_leave_before_the_next_slice_is_begun(spark):
     done = []
     made = batches.by_text(lambda t: done.append(t) or t.upper()).func(iter([pa.array(["a", None] * 500), pa.array([], pa.string()), pa.array(["b"])]))
     assert len(next(made)) == batches.ROWS and len(done) == batches.ROWS // 2
@@ -57,6 +57,13 @@ def test_results_leave_before_the_next_slice_is_begun():
     assert sum(map(len, rest)) == 1001 - batches.ROWS and max(map(len, rest)) == batches.ROWS and rest[-1].to_pylist() == ["B"]
 
 
+def test_slices_are_bounded_in_rows_and_bytes():
+    texts = pa.array(["a", "b" * batches.BYTES * 2, None, "c" * (batches.BYTES - 1), "d", "e", *["f"] * 100])
+    made = list(batches.slices(texts))
+    assert made == [(0, 1), (1, 1), (2, 3), (5, batches.ROWS), (5 + batches.ROWS, 101 - batches.ROWS)]
+    assert not list(batches.slices(pa.array([], pa.string()))) and list(batches.slices(texts.slice(1, 2))) == [(0, 1), (1, 1)]
+
+
 def test_batches_of_many_slices_keep_their_rows(spark):
     made = spark.range(1000).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("Ã©"), F.col("id").cast("string"))).alias("text"))
     got = made.select("id", repair.kernel_text("text").alias("one"), repair.fix_text("text").alias("two")).collect()
